@@ -24,3 +24,12 @@ def op10_quality_rules(spark, sf_dir):
     from .quality_rules import quality_rules
 
     return quality_rules(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    from .sentencepiece_codec import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
