@@ -33,3 +33,12 @@ def op6_sentencepiece(spark, sf_dir):
     from .sentencepiece_codec import round_trip
 
     return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op7_token_planes(spark, sf_dir):
+    import public_tokenizers
+
+    from .token_files import token_round_trip
+
+    return token_round_trip(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
