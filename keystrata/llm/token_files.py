@@ -226,7 +226,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> np.ndarray:
         if self.plain_rules and not self.not_prose.search(text):
-            words = text.lower().replace(".", " .").replace(",", " ,").split()
+            words = text.lower().replace(".", " . ").replace(",", " , ").split()
             return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
         if self.plain_rules:
             return np.frombuffer(b"".join(map(self.units.__getitem__, text.split(" "))), "<u4")
