@@ -42,3 +42,10 @@ def op7_token_planes(spark, sf_dir):
     from .token_files import token_round_trip
 
     return token_round_trip(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_jaccard_join(spark, sf_dir):
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents"), width=4, percent=85)
