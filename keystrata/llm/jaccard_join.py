@@ -9,11 +9,11 @@ prefixes (prefix length plus k - 1). Exact copies are folded first. Then:
   at least one non-empty class, and each class's whole combination is a key. Classes depend on the size band alone;
 * every key's group is compared with its least member only (a star, so rows stay linear in the group's size), pairs
   are first held to the number of tokens their prefix sketches must share, then verified on the whole sets;
-* components of the links so far are found, and only members of one group that lie in different components are
-  compared further, unless the triangle inequality of the Jaccard distance through the star's centre rules them out.
+* components of the links so far are found. Where a group still holds several, its members outside the centre's
+  component are held in blocks and all its members stream past them as differences from the centre's set, which give
+  every overlap exactly; only links come out, never pairs.
 
-No link between different texts is lost, nothing is capped, and no group is expanded into all pairs unless its
-members stay unlinked and cannot be told apart by their distances.
+No link between different texts is lost, nothing is capped, and no group is expanded into pairs.
 
 Null and empty texts have an empty set and link with nothing; fewer words than the width make one token of the whole
 sequence. Repeated rows fold like copies. Extra columns are ignored; an empty table gives an empty result.
@@ -36,6 +36,8 @@ from .components import connected_components
 RARE_LIMIT = 24
 #: Up to so many document ids (8 bytes each) may be broadcast to pick texts; beyond it texts are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Members compared at once.
+BLOCK_ROWS = 2000
 
 SIGNATURE = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, sketch array<bigint>"
 
@@ -201,27 +203,114 @@ def sketch_filter(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) on the whole sets."""
+    """(a, b, linked) on the whole sets."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("tokens").alias(f"{x}t"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("at", "bt")).cast("bigint")
     union = F.size("at") + F.size("bt") - shared
-    return both.select("a", "b", shared.alias("i"), union.alias("u")).select("a", "b", (F.lit(1.0) - F.col("i") / F.col("u")).alias("distance"), (F.col("i") * 100 >= F.col("u") * percent).alias("linked"))
+    return both.select("a", "b", shared.alias("i"), union.alias("u")).select("a", "b", (F.col("i") * 100 >= F.col("u") * percent).alias("linked"))
 
 
-def residual_pairs(groups: DataFrame, labels: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one group in different components that the triangle inequality through the centre leaves open."""
-    labelled = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    known = checked.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "distance")
-    rows = labelled.join(mixed, "key").join(known, ["centre", "rep"], "left").where("rep <> centre")
-    # The main component of a group is the centre's; pairs inside it, or inside any other one, need no look.
-    l, r = (rows.select(F.col("key"), *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "component", "distance")]) for x in "lr")
-    radius = 1 - percent / 100 + 1e-9
-    apart = F.coalesce(F.abs(F.col("l_distance") - F.col("r_distance")) > radius, F.lit(False))
-    met = l.join(r, "key").where((F.col("l_rep") < F.col("r_rep")) & (F.col("l_component") != F.col("r_component")) & _sizes_fit(F.col("l_n"), F.col("r_n"), percent) & ~apart)
-    pairs = met.select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b")).distinct()
-    return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(centre, rep, n, component, outside, blocks): who must still be compared, under each centre.
+
+    Taken are the members of groups that hold several components. ``outside`` marks those not in their centre's
+    component; any pair that is still open has one of them, and they are dealt into ``blocks`` of about BLOCK_ROWS.
+    """
+    rows = groups.select("key", "rep", "n", "centre")
+    rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    members = rows.join(mixed, "key").where("rep <> centre").select("centre", "rep", "n", "component").distinct()
+    own = labels.select(F.col("node").alias("centre"), F.col("component").alias("own"))
+    members = members.join(own, "centre", "left").withColumn("outside", F.col("component") != F.coalesce("own", "centre"))
+    stats = members.groupBy("centre").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count_if("outside").alias("k"))
+    stats = stats.where("c1 <> c2").select("centre", F.ceil(F.col("k") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    return members.join(stats, "centre").drop("own")
+
+
+def block_links(percent: int):
+    """Reader of rows sorted by (centre, block, role): a block's outside members (role 0), then all members (role 1).
+
+    With a, b tokens of two sets in the centre's set of m, and D their differences from it, the sets share
+    a + b - m + |D1 & D2| tokens. The block stays in memory, the members stream past it.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def flat(batch):
+        column = batch.column("d")
+        offsets = column.offsets.to_numpy().astype(np.int64)
+        values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        take = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        return take("rep"), take("n"), take("component"), take("m"), values, offsets - offsets[0]
+
+    def index(parts):
+        rep, n, comp, m = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        sizes = np.concatenate([np.diff(p[5]) for p in parts])
+        tokens = np.concatenate([p[4] for p in parts])
+        owner = np.repeat(np.arange(len(rep)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        words, first = np.unique(tokens[order], return_index=True)
+        return rep, n, comp, (n + m - sizes) // 2, words, np.append(first, len(tokens)), owner[order]
+
+    def compare(block, rows, seen):
+        rep, n, comp, own, words, first, owner = block
+        y_rep, y_n, y_comp, m, values, offsets = rows
+        shared = np.zeros((len(y_rep), len(rep)), np.int32)
+        if len(words) and len(values):
+            at = np.minimum(np.searchsorted(words, values), len(words) - 1)
+            hit = np.flatnonzero(words[at] == values)
+            row = np.repeat(np.arange(len(y_rep)), np.diff(offsets))[hit]
+            low, size = first[at[hit]], first[at[hit] + 1] - first[at[hit]]
+            flat_at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+            shared = np.bincount(np.repeat(row, size) * len(rep) + owner[flat_at], minlength=shared.size).reshape(shared.shape)
+        y_own = (y_n + m - np.diff(offsets)) // 2
+        both = shared + own[None, :] + (y_own - m)[:, None]
+        linked = (both * 100 >= percent * (n[None, :] + y_n[:, None] - both)) & (comp[None, :] != y_comp[:, None])
+        for y, u in zip(*np.nonzero(linked), strict=True):
+            key = (int(u), int(y_comp[y]))
+            if key not in seen:
+                seen.add(key)
+                yield int(min(rep[u], y_rep[y])), int(max(rep[u], y_rep[y]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block, seen = None, [], None, set()
+        for batch in batches:
+            centre, number, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("centre", "block", "role"))
+            change = np.flatnonzero((centre[1:] != centre[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])) + 1
+            edges = sorted({*change.tolist(), *range(0, batch.num_rows, BLOCK_ROWS), batch.num_rows})
+            found = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if (centre[lo], number[lo]) != key:
+                    key, held, block, seen = (centre[lo], number[lo]), [], None, set()
+                rows = flat(batch.slice(lo, hi - lo))
+                if role[lo] == 0:
+                    held.append(rows)
+                    continue
+                if held and block is None:
+                    block = index(held)
+                if block is not None:
+                    found += compare(block, rows, seen)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=schema)
+
+    return run
+
+
+def residual_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components among open members, exactly, at least one for every two components of a centre
+    that a link joins. Nothing is emitted for pairs that do not link."""
+    ids = members.select(F.col("rep").alias("doc_id")).unionByName(members.select(F.col("centre").alias("doc_id"))).distinct()
+    sets = common.materialise(full_sets(docs, common.materialise(ids, "ids"), width).dropDuplicates(["doc_id"]), "sets")
+    side = lambda k, t: sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(t))
+    rows = members.join(side("rep", "t"), "rep").join(side("centre", "c"), "centre")
+    rows = rows.select("centre", "rep", "n", "component", "outside", "blocks", F.size("c").cast("bigint").alias("m"), F.concat(F.array_except("t", "c"), F.array_except("c", "t")).alias("d"))
+    rows = common.materialise(rows, "differences")
+    common.drop_table(sets)
+    columns = ["centre", "block", "role", "rep", "n", "component", "m", "d"]
+    outside = rows.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
+    everyone = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    dealt = outside.select(*columns).unionByName(everyone.select(*columns)).repartition(common.parts(docs.sparkSession), "centre", "block")
+    return dealt.sortWithinPartitions("centre", "block", "role").mapInArrow(block_links(percent), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_limit: int = RARE_LIMIT) -> DataFrame:
@@ -247,10 +336,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     stars = rows.where(F.col("rep") != F.col("centre")).where(_sizes_fit(F.col("n"), F.col("centre_n"), percent))
     checked = _checked(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), docs, reps, width, percent)
     labels = connected_components(checked.where("linked"), "a", "b")
-    left = common.materialise(residual_pairs(rows, labels, checked, percent), "residual")
-    if not left.isEmpty():
-        more = _checked(left, docs, reps, width, percent)
-        labels = connected_components(checked.where("linked").unionByName(more.where("linked")), "a", "b")
+    links = checked.where("linked").select("a", "b")
+    members = common.materialise(open_members(rows, labels), "open")
+    if not members.isEmpty():
+        labels = connected_components(links.unionByName(residual_links(members, docs, width, percent)), "a", "b")
 
     out = sigs.select("doc_id", "n", "fp1", "fp2").join(folded, ["fp1", "fp2"], "left")
     out = out.join(labels, out.rep == labels.node, "left")
