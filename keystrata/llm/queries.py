@@ -49,3 +49,10 @@ def op3_jaccard_join(spark, sf_dir):
     from .jaccard_join import jaccard_components
 
     return jaccard_components(_read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import digests
+
+    return digests(_read(spark, sf_dir, "documents"))
