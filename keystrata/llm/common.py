@@ -6,6 +6,7 @@ with random byte values. The same arrays serve every operator, so a word or shin
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,6 +36,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,14 +6,15 @@ earlier start) is removed; strings are judged on the input and never cross docum
 A full suffix array over all positions would need more room than the texts, so suffixes are sampled by content: of
 the SEED-byte strings inside a LENGTH-byte window the least by hash (leftmost on ties) is the window's anchor. Equal
 windows have equal anchors, so no match of LENGTH bytes is missed. Consecutive windows with one anchor form a run; a
-run's suffix is the text its windows cover. Suffixes are kept as sorted arrays of two 64-bit fingerprints (anchor,
-whole run with the anchor's place), dealt by anchor:
+run's suffix is the text its windows cover. Suffixes are kept as sorted arrays of fingerprints (32 bits of the
+anchor, 64 of the whole run with the anchor's place), dealt by anchor:
 
 * within a task, documents come in batches in doc_id order. A batch's array is sorted, searched by a merge scan in
   every level of the family, and what no level holds becomes a new level; levels of about equal size merge, so sizes
   grow geometrically and an entry is merged a logarithmic number of times;
 * a run that an earlier batch or an earlier run holds whole is repeated whole. Only the first runs of anchors that
-  occur in several different runs, the edges of copied passages, stay open, and their windows are compared one by one;
+  occur in several different runs, the edges of copied passages, stay open: the texts of these runs are dealt by
+  anchor and their windows compared one by one;
 * equal runs of one piece of a map task are folded before any shuffle, so a hot passage reaches a task once a piece.
 
 Null text counts as empty; texts shorter than LENGTH keep all their bytes. Rows that repeat a doc_id with the same text
@@ -38,9 +39,9 @@ SEED = 32
 #: Suffixes in a batch of the family.
 BATCH = 1 << 16
 #: Open runs (20 bytes each) up to so many may be broadcast to their texts; beyond it texts are shuffled.
-BROADCAST_RUNS = 400_000
+BROADCAST_RUNS = 2_000_000
 
-RUNS = "anchor bigint, run bigint, doc_id bigint, lo int, n int, repeated boolean"
+RUNS = "anchor int, run bigint, doc_id bigint, lo int, n int, repeated boolean"
 
 
 class Rolling:
@@ -180,7 +181,7 @@ def map_runs(length: int, seed: int):
             done = len(d)
             spread = common.mix(d.astype(np.uint64) * U64(3) + a.astype(np.uint64))
             columns = [
-                np.concatenate((anchor[first], spread)).view(np.int64),
+                (np.concatenate((anchor[first], spread)) >> U64(32)).astype(np.uint32).view(np.int32),
                 np.concatenate((prints[first], np.zeros(done, np.uint64))).view(np.int64),
                 np.concatenate((ids[first], d)),
                 np.concatenate((lo[first], a)).astype(np.int32),
@@ -226,8 +227,8 @@ def scan_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (d, a, size, repeated, key)], names=["doc_id", "lo", "n", "repeated", "anchor"])
 
 
-def _list_arrays(column: pa.Array, fields: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number and the two fields of each struct in a list column (null lists are empty)."""
+def _list_arrays(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+    """Row number and the fields of each struct in a list column (null lists are empty)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten()
     sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
@@ -235,52 +236,52 @@ def _list_arrays(column: pa.Array, fields: tuple[str, str]) -> tuple[np.ndarray,
     return np.repeat(np.arange(len(column)), sizes), *take
 
 
-WINDOWS = "w1 bigint, w2 bigint, doc_id bigint, lo int, n int, repeated boolean"
+CONTEXTS = "anchor int, doc_id bigint, lo int, n int, context binary"
 
 
-def map_windows(length: int):
-    """Two hashes of every window of the open runs; windows that repeat within the piece come out finished."""
+def map_contexts(length: int):
+    """The text that each open run's windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in WINDOWS.split(", ")]
         for piece in common.pieces(batches):
             buf, offsets = common.text_buffer(piece.column("text"))
-            row, lo, n = _list_arrays(piece.column("runs"), ("lo", "n"))
+            row, lo, n, anchor = _list_arrays(piece.column("runs"), ("lo", "n", "anchor"))
             if not len(row):
                 continue
-            rolling = Rolling(buf)
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(lo + offsets[row], n) + step
-            ids = np.repeat(piece.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64), n)
-            place = np.repeat(lo, n) + step
-            w1, w2 = common.mix(rolling.segment(at, at + length)), common.mix(rolling.segment(at, at + length // 2) ^ U64(7))
-            first, later = first_and_later(w1, ids, place)
-            d, a, e = merged(ids[later], place[later], place[later] + 1)
-            columns = [
-                np.concatenate((w1[first], common.mix(d.astype(np.uint64) + a.astype(np.uint64)))).view(np.int64),
-                np.concatenate((w2[first], np.zeros(len(d), np.uint64))).view(np.int64),
-                np.concatenate((ids[first], d)),
-                np.concatenate((place[first], a)).astype(np.int32),
-                np.concatenate((np.ones(int(first.sum()), np.int64), e - a)).astype(np.int32),
-                np.concatenate((np.zeros(int(first.sum()), bool), np.ones(len(d), bool))),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            raw, base = buf.tobytes(), (lo + offsets[row]).tolist()
+            texts = [raw[a : a + k] for a, k in zip(base, (n - 1 + length).tolist(), strict=True)]
+            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
+            columns = [anchor.astype(np.int32), ids, lo.astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.binary())], names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
     return run
 
 
-def settle_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of windows that an earlier document or place holds too."""
-    names = [x.split()[0] for x in WINDOWS.split(", ")]
-    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches if b.num_rows]
-    if not parts:
-        return
-    w1, w2, doc, lo, n, done = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key = w1.view(np.uint64) ^ common.mix(w2.view(np.uint64))
-    _, later = first_and_later(key[~done], doc[~done], lo[~done])
-    d, a, e = merged(np.concatenate((doc[done], doc[~done][later])), np.concatenate((lo[done], lo[~done][later])).astype(np.int64), np.concatenate((lo[done] + n[done], lo[~done][later] + 1)).astype(np.int64))
-    if len(d):
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array((e - a).astype(np.int32))], names=["doc_id", "lo", "n"])
+def settle_windows(length: int):
+    """Intervals of windows in open runs that an earlier document or place holds too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs, places = [], [], []
+        for batch in batches:
+            for piece in common.pieces(iter([batch]), "context"):
+                buf, offsets = common.text_buffer(piece.column("context"))
+                doc, lo, n = (piece.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "lo", "n"))
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(offsets[:-1], n) + step
+                rolling = Rolling(buf)
+                # Two segments each: a window counts as equal if the whole and its first half agree in 128 bits mixed to 64.
+                keys.append(common.mix(rolling.segment(at, at + length)) ^ common.mix(rolling.segment(at, at + length // 2) + U64(7)))
+                docs.append(np.repeat(doc, n))
+                places.append((np.repeat(lo, n) + step).astype(np.int32))
+        if not keys:
+            return
+        key, doc, place = (np.concatenate(x) for x in (keys, docs, places))
+        _, later = first_and_later(key, doc, place)
+        d, a, e = merged(doc[later], place[later].astype(np.int64), place[later].astype(np.int64) + 1)
+        if len(d):
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array((e - a).astype(np.int32))], names=["doc_id", "lo", "n"])
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -288,12 +289,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     docs = docs.select("doc_id", "text")
     n_parts = common.parts(docs.sparkSession)
     runs = docs.mapInArrow(map_runs(length, seed), RUNS).repartition(n_parts, "anchor")
-    scanned = common.materialise(runs.mapInArrow(scan_family, "doc_id bigint, lo int, n int, repeated boolean, anchor bigint"), "suffix-runs")
-    opened = scanned.where("not repeated").select("doc_id", "lo", "n")
+    scanned = common.materialise(runs.mapInArrow(scan_family, "doc_id bigint, lo int, n int, repeated boolean, anchor int"), "suffix-runs")
+    opened = scanned.where("not repeated").select("doc_id", "lo", "n", "anchor")
     few = opened.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
-    by_doc = opened.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    windows = docs.join(F.broadcast(by_doc) if few else by_doc, "doc_id").mapInArrow(map_windows(length), WINDOWS)
-    edges = windows.repartition(n_parts, "w1").mapInArrow(settle_windows, "doc_id bigint, lo int, n int")
+    by_doc = opened.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "anchor")).alias("runs"))
+    contexts = docs.join(F.broadcast(by_doc) if few else by_doc, "doc_id").mapInArrow(map_contexts(length), CONTEXTS)
+    edges = contexts.repartition(n_parts, "anchor").mapInArrow(settle_windows(length), "doc_id bigint, lo int, n int")
     whole = scanned.where("repeated").select("doc_id", "lo", "n")
     return whole.unionByName(edges).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
