@@ -38,8 +38,8 @@ LENGTH = 100
 SEED = 32
 #: Suffixes in a batch of the family.
 BATCH = 1 << 16
-#: Open runs (20 bytes each) up to so many may be broadcast to their texts; beyond it texts are shuffled.
-BROADCAST_RUNS = 2_000_000
+#: Stands in for a null doc_id, which counts as the least one.
+NO_ID = -(1 << 63)
 
 RUNS = "anchor int, run bigint, doc_id bigint, lo int, n int, repeated boolean"
 
@@ -245,7 +245,7 @@ def map_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches):
             buf, offsets = common.text_buffer(piece.column("text"))
-            row, lo, n, anchor = _list_arrays(piece.column("runs"), ("lo", "n", "anchor"))
+            row, lo, n, anchor = _list_arrays(piece.column("_ks_runs"), ("lo", "n", "anchor"))
             if not len(row):
                 continue
             raw, base = buf.tobytes(), (lo + offsets[row]).tolist()
@@ -285,24 +285,35 @@ def settle_windows(length: int):
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, spans array<struct<lo, n>>): per document the runs of starts whose LENGTH-byte strings occur earlier."""
-    docs = docs.select("doc_id", "text")
+    """(_ks_id, _ks_spans array<struct<lo, n>>): per document the runs of starts whose strings occur earlier.
+
+    docs comes from keyed(). Its rows are dealt by doc_id for the open runs just as a caller that joins the result
+    deals them, so that both use one exchange of the texts.
+    """
     n_parts = common.parts(docs.sparkSession)
-    runs = docs.mapInArrow(map_runs(length, seed), RUNS).repartition(n_parts, "anchor")
+    runs = docs.select("doc_id", "text").mapInArrow(map_runs(length, seed), RUNS).repartition(n_parts, "anchor")
     scanned = common.materialise(runs.mapInArrow(scan_family, "doc_id bigint, lo int, n int, repeated boolean, anchor int"), "suffix-runs")
-    opened = scanned.where("not repeated").select("doc_id", "lo", "n", "anchor")
-    few = opened.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
-    by_doc = opened.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "anchor")).alias("runs"))
-    contexts = docs.join(F.broadcast(by_doc) if few else by_doc, "doc_id").mapInArrow(map_contexts(length), CONTEXTS)
+    opened = scanned.where("not repeated").groupBy(F.col("doc_id").alias("_ks_id")).agg(F.collect_list(F.struct("lo", "n", "anchor")).alias("_ks_runs"))
+    contexts = docs.join(opened, docs["doc_id"] == opened["_ks_id"]).mapInArrow(map_contexts(length), CONTEXTS)
     edges = contexts.repartition(n_parts, "anchor").mapInArrow(settle_windows(length), "doc_id bigint, lo int, n int")
     whole = scanned.where("repeated").select("doc_id", "lo", "n")
-    return whole.unionByName(edges).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    return whole.unionByName(edges).groupBy(F.col("doc_id").alias("_ks_id")).agg(F.collect_list(F.struct("lo", "n")).alias("_ks_spans"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a doc_id that is never null: no join needs a filter on it, which would make its exchange another one."""
+    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
-def _removed(piece: pa.RecordBatch, length: int, spans: str = "spans") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def with_spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    spans = repeated_windows(docs, length, seed)
+    return docs.join(spans, docs["doc_id"] == spans["_ks_id"], "left")
+
+
+def _removed(piece: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts' bytes and offsets; row, start and end (in the row) of the maximal removed spans."""
     buf, offsets = common.text_buffer(piece.column("text"))
-    row, lo, n = _list_arrays(piece.column(spans), ("lo", "n"))
+    row, lo, n = _list_arrays(piece.column("_ks_spans"), ("lo", "n"))
     return buf, offsets, *merged(row, lo, lo + n - 1 + length)
 
 
@@ -328,8 +339,8 @@ def digests(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    both = docs.select("doc_id", "text").join(repeated_windows(docs, length, seed), "doc_id", "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = with_spans(keyed(docs.select("doc_id", "text")), length, seed).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -339,7 +350,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches):
-            buf, offsets, row, start, end = _removed(piece, length, "_ks_spans")
+            buf, offsets, row, start, end = _removed(piece, length)
             inner = np.append((buf & 0xC0) == 0x80, False)
             cuts, raw, texts = np.searchsorted(row, np.arange(piece.num_rows + 1)), buf.tobytes(), []
             nulls = piece.column("text").is_null().to_pylist()
@@ -364,6 +375,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
             keep = pa.array([bool(t and t.strip()) or cuts[i] == cuts[i + 1] for i, t in enumerate(texts)])
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
 
-    spans = repeated_windows(docs, length, seed).withColumnsRenamed({"doc_id": "_ks_id", "spans": "_ks_spans"})
-    both = docs.join(spans, docs["doc_id"] == spans["_ks_id"], "left").drop("_ks_id")
-    return both.mapInArrow(run, docs.schema)
+    out = with_spans(keyed(docs), length, seed).mapInArrow(run, docs.schema)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -74,3 +74,10 @@ def test_stage_cuts_whole_characters_and_drops_emptied_rows(spark):
     got = sorted((r.doc_id, r.text, r.n_chars) for r in out.collect() if r.doc_id != 5)
     assert got == [(1, text, 200), (1, text, 200), (2, "xy", 2), (4, "", 0)]
     assert s.digests(df.limit(0)).count() == 0
+
+
+def test_null_ids_and_one_exchange_of_texts(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(100))
+    df = spark.createDataFrame([(None, text), (1, text)], "doc_id long, text string")
+    out = s.digests(df)
+    assert sorted((r.doc_id is None, r.n_removed) for r in out.collect()) == [(False, 300), (True, 0)]
