@@ -56,3 +56,24 @@ def op5_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import digests
 
     return digests(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    from .decontamination import contamination
+
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query
+def op1_quality_model(spark, sf_dir):
+    from .quality_model import classify
+
+    return classify(_read(spark, sf_dir, "documents"))
