@@ -29,17 +29,12 @@ ROUNDS = 300
 EM_ROUNDS = 60
 
 STATISTICS = ["symbols", "capitals", "repeats", "lines", "wordless", "short", "ratio", "marks"]
-#: (statistic, good up to, bad from); between the two a labeller abstains.
-LABELLERS = {
-    "symbols": (0.02, 0.15),
-    "capitals": (0.15, 0.35),
-    "repeats": (0.03, 0.15),
-    "lines": (0.0, 0.2),
-    "wordless": (0.02, 0.15),
-    "short": (0.75, 0.97),
-    "ratio": (0.85, 1.0),
-    "marks": (0.05, 0.3),
-}
+#: From here on a labeller votes bad. Each sees one kind of fault, and abstains where it sees none; EM weighs both.
+FAULTS = {"symbols": 0.1, "capitals": 0.4, "repeats": 0.25, "lines": 0.4, "wordless": 0.15, "short": 0.48, "ratio": 1.0, "marks": 0.3}
+#: The share of short words that prose has: inside, "short" votes good; below the first limit it votes bad.
+PROSE_SHORT = (0.03, 0.12, 0.46)
+#: "short" needs a text of so many words.
+MIN_PROSE = 20
 #: Texts with fewer words give no evidence.
 MIN_WORDS = 4
 
@@ -100,8 +95,12 @@ def votes(table: np.ndarray, words: np.ndarray) -> np.ndarray:
     """+1 good, -1 bad, 0 no vote, per text and labeller."""
     out = np.zeros(table.shape, np.int8)
     for j, name in enumerate(STATISTICS):
-        good, bad = LABELLERS[name]
-        out[:, j] = np.where(table[:, j] >= bad, -1, np.where(table[:, j] <= good, 1, 0))
+        out[:, j] = -(table[:, j] >= FAULTS[name]).astype(np.int8)
+    j = STATISTICS.index("short")
+    low, good, high = PROSE_SHORT
+    share = table[:, j]
+    out[:, j] = np.where((share >= good) & (share <= high), 1, np.where((share < low) | (share >= FAULTS["short"]), -1, 0))
+    out[words < MIN_PROSE, j] = 0
     out[words < MIN_WORDS] = 0
     return out
 
@@ -129,11 +128,9 @@ def fit_labellers(code: np.ndarray, count: np.ndarray, rounds: int = EM_ROUNDS)
         for c, p in enumerate((1 - post, post)):
             for v in (-1, 0, 1):
                 tables[:, c, v + 1] = ((vote == v) * (p * weight)[:, None]).sum(axis=0) + 1.0
-        # Clearly good texts hardly ever get a bad vote from a labeller worth having.
         tables /= tables.sum(axis=2, keepdims=True)
         each = np.log(tables[np.arange(vote.shape[1])[None, :], :, vote + 1])
-        # An abstention says nothing.
-        each = np.where((vote == 0)[:, :, None], 0.0, each).sum(axis=1)
+        each = each.sum(axis=1)
         post = sigmoid(each[:, 1] - each[:, 0] + np.log(prior / (1 - prior)))
     return post, tables, prior if prior is not None else 0.5
 
@@ -144,7 +141,7 @@ def design(table: np.ndarray, words: np.ndarray, doc: np.ndarray, shape: np.ndar
     both, times = np.unique(doc * (1 << BITS) + shape, return_counts=True)
     row, feature = both >> BITS, both & ((1 << BITS) - 1)
     value = times / np.maximum(words, 1)[row]
-    spread = np.array([LABELLERS[s][1] for s in STATISTICS])
+    spread = np.array([FAULTS[s] for s in STATISTICS])
     step = np.minimum((table / spread * 4).astype(np.int64), 6)
     step[words < MIN_WORDS] = 0
     names = common.mix((np.arange(len(STATISTICS))[None, :] * 16 + step + 1).astype(np.uint64))

@@ -44,15 +44,18 @@ def sample_features(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
     return [x.values.to_numpy() for x in table.column("f")]
 
 
-def choose(p: list[np.ndarray], u: list[np.ndarray], most: int = MOST_FEATURES) -> np.ndarray:
-    """Features whose shares in P and U differ most, in standard errors."""
+def choose(p: list[np.ndarray], u: list[np.ndarray], prior: float, most: int = MOST_FEATURES) -> np.ndarray:
+    """Features whose shares in P and U differ by over four standard errors and, with the positives' part taken out
+    of U, by a factor over three between P and the negatives. The most significant ones, if there are too many."""
     dp, du = (np.bincount(np.concatenate([np.zeros(0, np.int64), *x]), minlength=1 << BITS) for x in (p, u))
     rp, ru = dp / max(1, len(p)), du / max(1, len(u))
     both = (dp + du) / max(1, len(p) + len(u))
     z = np.abs(rp - ru) / np.sqrt(both * (1 - both) * (1 / max(1, len(p)) + 1 / max(1, len(u))) + 1e-12)
-    z[dp + du < 8] = 0
+    rn = np.maximum(ru - prior * rp, 0) / (1 - prior)
+    least = 1 / max(1, len(p))
+    z[(dp + du < 6) | (np.abs(np.log((rp + least) / (rn + least))) < np.log(3))] = 0
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] > 3])
+    return np.sort(best[z[best] > 4])
 
 
 def fit_nnpu(p: list[np.ndarray], u: list[np.ndarray], prior: float, chosen: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -90,8 +93,9 @@ def train(docs: DataFrame, positive: DataFrame, unlabelled: DataFrame, prior: fl
     dense = np.zeros(1 << BITS, np.float32)
     if not p or not u:
         return dense, -60.0
-    chosen = choose(p, u)
-    w, bias = fit_nnpu(p, u, float(np.clip(prior, 1e-3, 0.9)), chosen)
+    prior = float(np.clip(prior, 1e-3, 0.9))
+    chosen = choose(p, u, prior)
+    w, bias = fit_nnpu(p, u, prior, chosen)
     dense[chosen] = w
     return dense, bias
 
