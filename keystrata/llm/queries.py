@@ -77,3 +77,10 @@ def op1_quality_model(spark, sf_dir):
     from .quality_model import classify
 
     return classify(_read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_html_text(spark, sf_dir):
+    from .html_text import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
