@@ -84,3 +84,10 @@ def op8_html_text(spark, sf_dir):
     from .html_text import extract
 
     return extract(_read(spark, sf_dir, "pages"))
+
+
+@query
+def op9_language_model(spark, sf_dir):
+    from .language_model import score
+
+    return score(_read(spark, sf_dir, "documents"))
