@@ -258,3 +258,27 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """docs with text replaced by what its ids decode to, and new columns n_tokens and ids (the last two; columns of
+    docs with these names give way). Null text stays null with the begin and end ids."""
+    names = [c for c in docs.columns if c not in ("n_tokens", "ids")]
+    kept = docs.select(*names)
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for piece in common.pieces(batches):
+            done = [(t, c.encode(t or "")[0]) for t in piece.column("text").to_pylist()]
+            columns = list(piece.columns)
+            columns[at] = pa.array([None if t is None else c.decode(i) for t, i in done], pa.string())
+            cuts = np.concatenate(([0], np.cumsum([len(i) for _, i in done])))
+            flat = np.concatenate([i for _, i in done]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(cuts), pa.int64()), lists], names=[*names, "n_tokens", "ids"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return kept.mapInArrow(run, schema)
