@@ -335,12 +335,33 @@ def score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) ->
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
 
+def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of at most HEAD_WORDS words in descending order: all words of the count bins that fit whole.
+
+    Bins are single counts below 4096 and sixteenths of powers of two above, so the histogram has a fixed size and no
+    task sorts the whole table.
+    """
+    c = F.col("c")
+    place = F.when(c < 4096, c).otherwise(F.lit(4096) + F.floor(F.log2(c.cast("double")) * 16)).cast("int")
+    bins = counts.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, least = 0, None
+    for b in sorted(bins, key=lambda r: -r.b):
+        if total + b.n > HEAD_WORDS:
+            break
+        total, least = total + b.n, b.b
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    head = counts.where(place >= least).toArrow()
+    hashes, number = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
+    order = np.lexsort((hashes, -number))
+    return hashes[order], number[order]
+
+
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logs to base 10."""
     counts = common.materialise(word_counts(docs), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("c"), "h").limit(HEAD_WORDS).toArrow()
-    vocabulary = Vocabulary(head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy(), n, v)
+    vocabulary = Vocabulary(*frequent_words(counts), n, v)
     weights = fit(docs, vocabulary, rounds)
     rows = common.materialise(score_rows(docs, vocabulary, weights), "scored")
     words = rows.select("row_id", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row_id", F.col("t.tail").alias("h"), F.col("t.tail_n").alias("k"))
