@@ -144,15 +144,22 @@ def contexts(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return tuple(back)
 
 
+def _hashed(x: np.ndarray, salt: int, rows: int) -> np.ndarray:
+    return (common.mix(x.astype(np.uint64) * U64(8) + U64(salt)) % U64(rows)).astype(np.uint16)
+
+
+#: Rows of the features of one id, and of one id with a class, once for all ids.
+_SINGLE = [_hashed(np.arange(START + 1), salt, CLASS_ROWS) for salt in (1, 3, 4)]
+_WORD = [_hashed(np.arange((START + 1) * CLASSES), salt, WORD_ROWS) for salt in (5, 6)]
+
+
 def feature_rows(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> list[np.ndarray]:
     """Class-table rows of: word before, pair before, word at distance two, word at distance three."""
-    h = lambda x, salt: (common.mix(x.astype(np.uint64) * U64(8) + U64(salt)) % U64(CLASS_ROWS)).astype(np.int64)
-    return [h(w1, 1), h(w1 * 8192 + w2, 2), h(w2, 3), h(w3, 4)]
+    return [_SINGLE[0][w1], _hashed(w1 * 8192 + w2, 2, CLASS_ROWS), _SINGLE[1][w2], _SINGLE[2][w3]]
 
 
 def word_rows(w1: np.ndarray, w2: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
-    h = lambda x, salt: (common.mix((x * CLASSES + cls).astype(np.uint64) * U64(8) + U64(salt)) % U64(WORD_ROWS)).astype(np.int64)
-    return [h(w1, 5), h(w2, 6)]
+    return [_WORD[0][w1 * CLASSES + cls], _WORD[1][w2 * CLASSES + cls]]
 
 
 class Maxent:
@@ -237,11 +244,20 @@ class Maxent:
     @staticmethod
     def _step(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], g: np.ndarray) -> None:
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            used, first = np.unique(r[order], return_index=True)
+            order = np.argsort(r, kind="stable")  # a radix sort for 16 bits
+            ordered = r[order]
+            new = np.ones(len(ordered), bool)
+            new[1:] = ordered[1:] != ordered[:-1]
+            first = np.flatnonzero(new)
+            used = ordered[first]
             total = np.add.reduceat(g[order], first, axis=0)
-            squares[used] += total * total
-            table[used] -= RATE * total / np.sqrt(squares[used] + 1.0)
+            grown = squares[used] + total * total
+            squares[used] = grown
+            grown += 1.0
+            np.sqrt(grown, out=grown)
+            total *= np.float32(RATE)
+            total /= grown
+            table[used] -= total
 
 
 def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
