@@ -188,9 +188,9 @@ class Maxent:
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
+        np.minimum(z, 60.0, out=z)  # far above any sum of logs and weights
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z *= (1.0 / (z @ np.ones(z.shape[1], np.float32)))[:, None]
         return z
 
     def class_probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
@@ -250,7 +250,13 @@ class Maxent:
             new[1:] = ordered[1:] != ordered[:-1]
             first = np.flatnonzero(new)
             used = ordered[first]
-            total = np.add.reduceat(g[order], first, axis=0)
+            # Most rows occur once: only the others are summed.
+            sizes = np.diff(np.append(first, len(ordered)))
+            total = g[order[first]]
+            many = np.flatnonzero(sizes > 1)
+            if len(many):
+                more = sizes[many] - 1
+                total[many] += np.add.reduceat(g[order[~new]], np.cumsum(more) - more, axis=0)
             grown = squares[used] + total * total
             squares[used] = grown
             grown += 1.0
