@@ -9,11 +9,12 @@ prefixes (prefix length plus k - 1). Exact copies are folded first. Then:
   at least one non-empty class, and each class's whole combination is a key. Classes depend on the size band alone;
 * every key's group is compared with its least member only (a star, so rows stay linear in the group's size), pairs
   are first held to the number of tokens their prefix sketches must share, then verified on the whole sets;
-* components of the links so far are found. Where a group still holds several, its members outside the centre's
-  component are held in blocks and all its members stream past them as differences from the centre's set, which give
-  every overlap exactly; only links come out, never pairs.
+* components of the links so far are found. A rare token's group, small by definition, still gives the pairs between
+  its components. Where a combination's group holds several components, its members outside the centre's are held in
+  blocks and all its members stream past them as differences from the centre's set, which give every overlap exactly;
+  only links come out, never pairs.
 
-No link between different texts is lost, nothing is capped, and no group is expanded into pairs.
+No link between different texts is lost and nothing is capped.
 
 Null and empty texts have an empty set and link with nothing; fewer words than the width make one token of the whole
 sequence. Repeated rows fold like copies. Extra columns are ignored; an empty table gives an empty result.
@@ -211,6 +212,15 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", shared.alias("i"), union.alias("u")).select("a", "b", (F.col("i") * 100 >= F.col("u") * percent).alias("linked"))
 
 
+def few_pairs(groups: DataFrame, labels: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a rare token's group, of at most the rare limit, that lie in different components, differ little
+    in size and were not compared yet."""
+    rows = groups.select("key", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    l, r = (rows.select("key", *[F.col(c).alias(f"{x}_{c}") for c in ("rep", "n", "component")]) for x in "lr")
+    met = l.join(r, "key").where((F.col("l_rep") < F.col("r_rep")) & (F.col("l_component") != F.col("r_component")) & _sizes_fit(F.col("l_n"), F.col("r_n"), percent))
+    return met.select(F.col("l_rep").alias("a"), F.col("r_rep").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
     """(centre, rep, n, component, outside, blocks): who must still be compared, under each centre.
 
@@ -331,15 +341,20 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     crowded = common.materialise(crowded.select(F.col("rep").alias("doc_id")), "crowded")
     columns = ["key", "rep", "n", "centre", "centre_n"]
     keyed = grouped(combinations(full_sets(docs, crowded, width).dropDuplicates(["doc_id"]), percent))
-    rows = common.materialise(groups.where(F.col("df") <= rare_limit).select(*columns).unionByName(keyed.select(*columns)), "groups")
+    few = groups.where(F.col("df") <= rare_limit).select(*columns, F.lit(False).alias("crowd"))
+    rows = common.materialise(few.unionByName(keyed.select(*columns, F.lit(True).alias("crowd"))), "groups")
 
     stars = rows.where(F.col("rep") != F.col("centre")).where(_sizes_fit(F.col("n"), F.col("centre_n"), percent))
     checked = _checked(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), docs, reps, width, percent)
     labels = connected_components(checked.where("linked"), "a", "b")
     links = checked.where("linked").select("a", "b")
-    members = common.materialise(open_members(rows, labels), "open")
+    pairs = few_pairs(rows.where("not crowd"), labels, checked, percent)
+    more = _checked(pairs, docs, reps, width, percent).where("linked").select("a", "b")
+    members = common.materialise(open_members(rows.where("crowd"), labels), "open")
     if not members.isEmpty():
-        labels = connected_components(links.unionByName(residual_links(members, docs, width, percent)), "a", "b")
+        more = more.unionByName(residual_links(members, docs, width, percent))
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more), "a", "b")
 
     out = sigs.select("doc_id", "n", "fp1", "fp2").join(folded, ["fp1", "fp2"], "left")
     out = out.join(labels, out.rep == labels.node, "left")
