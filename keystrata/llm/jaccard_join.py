@@ -23,6 +23,7 @@ sequence. Repeated rows fold like copies. Extra columns are ignored; an empty ta
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,12 @@ from .components import connected_components
 RARE_LIMIT = 24
 #: Up to so many document ids (8 bytes each) may be broadcast to pick texts; beyond it texts are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Members compared at once.
+#: A block holds about so many members and so many of their tokens.
 BLOCK_ROWS = 2000
+BLOCK_TOKENS = 4_000_000
+#: Members streamed past a block at once, and postings expanded at once.
+STREAM_ROWS = 512
+POSTINGS = 1 << 20
 
 SIGNATURE = "doc_id bigint, n bigint, fp1 bigint, fp2 bigint, sketch array<bigint>"
 
@@ -222,10 +227,10 @@ def few_pairs(groups: DataFrame, labels: DataFrame, checked: DataFrame, percent:
 
 
 def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(centre, rep, n, component, outside, blocks): who must still be compared, under each centre.
+    """(centre, rep, n, component, outside): who must still be compared, under each centre.
 
     Taken are the members of groups that hold several components. ``outside`` marks those not in their centre's
-    component; any pair that is still open has one of them, and they are dealt into ``blocks`` of about BLOCK_ROWS.
+    component; any pair that is still open has one of them.
     """
     rows = groups.select("key", "rep", "n", "centre")
     rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -233,9 +238,8 @@ def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
     members = rows.join(mixed, "key").where("rep <> centre").select("centre", "rep", "n", "component").distinct()
     own = labels.select(F.col("node").alias("centre"), F.col("component").alias("own"))
     members = members.join(own, "centre", "left").withColumn("outside", F.col("component") != F.coalesce("own", "centre"))
-    stats = members.groupBy("centre").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count_if("outside").alias("k"))
-    stats = stats.where("c1 <> c2").select("centre", F.ceil(F.col("k") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    return members.join(stats, "centre").drop("own")
+    several = members.groupBy("centre").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("centre")
+    return members.join(several, "centre").drop("own")
 
 
 def block_links(percent: int):
@@ -265,14 +269,20 @@ def block_links(percent: int):
     def compare(block, rows, seen):
         rep, n, comp, own, words, first, owner = block
         y_rep, y_n, y_comp, m, values, offsets = rows
-        shared = np.zeros((len(y_rep), len(rep)), np.int32)
+        shared = np.zeros((len(y_rep), len(rep)), np.int64)
         if len(words) and len(values):
             at = np.minimum(np.searchsorted(words, values), len(words) - 1)
             hit = np.flatnonzero(words[at] == values)
             row = np.repeat(np.arange(len(y_rep)), np.diff(offsets))[hit]
             low, size = first[at[hit]], first[at[hit] + 1] - first[at[hit]]
-            flat_at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-            shared = np.bincount(np.repeat(row, size) * len(rep) + owner[flat_at], minlength=shared.size).reshape(shared.shape)
+            ends = np.cumsum(size)
+            steps = np.searchsorted(ends, np.arange(0, int(size.sum()), POSTINGS), side="right")
+            for p, q in itertools.pairwise([*np.unique(steps).tolist(), len(size)]):
+                part, begin = size[p:q], int(row[p])
+                flat_at = np.arange(int(part.sum())) + np.repeat(low[p:q] - np.cumsum(part) + part, part)
+                place = np.repeat(row[p:q] - begin, part) * len(rep) + owner[flat_at]
+                lines = int(row[q - 1]) - begin + 1
+                shared[begin : begin + lines] += np.bincount(place, minlength=lines * len(rep)).reshape(lines, len(rep))
         y_own = (y_n + m - np.diff(offsets)) // 2
         both = shared + own[None, :] + (y_own - m)[:, None]
         linked = (both * 100 >= percent * (n[None, :] + y_n[:, None] - both)) & (comp[None, :] != y_comp[:, None])
@@ -287,7 +297,7 @@ def block_links(percent: int):
         for batch in batches:
             centre, number, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("centre", "block", "role"))
             change = np.flatnonzero((centre[1:] != centre[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])) + 1
-            edges = sorted({*change.tolist(), *range(0, batch.num_rows, BLOCK_ROWS), batch.num_rows})
+            edges = sorted({*change.tolist(), *range(0, batch.num_rows, STREAM_ROWS), batch.num_rows})
             found = []
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if (centre[lo], number[lo]) != key:
@@ -313,14 +323,20 @@ def residual_links(members: DataFrame, docs: DataFrame, width: int, percent: int
     sets = common.materialise(full_sets(docs, common.materialise(ids, "ids"), width).dropDuplicates(["doc_id"]), "sets")
     side = lambda k, t: sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(t))
     rows = members.join(side("rep", "t"), "rep").join(side("centre", "c"), "centre")
-    rows = rows.select("centre", "rep", "n", "component", "outside", "blocks", F.size("c").cast("bigint").alias("m"), F.concat(F.array_except("t", "c"), F.array_except("c", "t")).alias("d"))
+    rows = rows.select("centre", "rep", "n", "component", "outside", F.size("c").cast("bigint").alias("m"), F.concat(F.array_except("t", "c"), F.array_except("c", "t")).alias("d"))
     rows = common.materialise(rows, "differences")
     common.drop_table(sets)
+    stats = rows.where("outside").groupBy("centre").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("d")).alias("t"))
+    blocks = F.greatest(F.ceil(F.col("k") / F.lit(BLOCK_ROWS)), F.ceil(F.col("t") / F.lit(BLOCK_TOKENS))).cast("int")
+    dealt = rows.join(stats.select("centre", blocks.alias("blocks")), "centre")
     columns = ["centre", "block", "role", "rep", "n", "component", "m", "d"]
-    outside = rows.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
-    everyone = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    dealt = outside.select(*columns).unionByName(everyone.select(*columns)).repartition(common.parts(docs.sparkSession), "centre", "block")
-    return dealt.sortWithinPartitions("centre", "block", "role").mapInArrow(block_links(percent), "a bigint, b bigint")
+    outside = dealt.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
+    everyone = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    both = outside.select(*columns).unionByName(everyone.select(*columns)).repartition(common.parts(docs.sparkSession), "centre", "block")
+    links = both.sortWithinPartitions("centre", "block", "role").mapInArrow(block_links(percent), "a bigint, b bigint")
+    links = common.materialise(links, "residual")
+    common.drop_table(rows)
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_limit: int = RARE_LIMIT) -> DataFrame:
