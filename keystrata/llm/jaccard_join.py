@@ -346,6 +346,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     folded = common.materialise(sigs.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "folded")
     reps = sigs.join(folded, (F.col("doc_id") == F.col("rep")) & (sigs.fp1 == folded.fp1) & (sigs.fp2 == folded.fp2)).where(F.size("sketch") > 0)
     reps = common.materialise(reps.select("rep", "n", "sketch").dropDuplicates(["rep"]), "representatives")
+    full, sigs = sigs, common.materialise(sigs.select("doc_id", "n", "fp1", "fp2"), "sizes")
+    common.drop_table(full)
 
     length = F.least(F.size("sketch"), (F.col("n") - _overlap(F.col("n"), percent) + _extension(F.col("n"))).cast("int"))
     tokens = reps.select("rep", "n", F.explode(F.slice("sketch", F.lit(1), length)).alias("key"))
@@ -359,6 +361,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     keyed = grouped(combinations(full_sets(docs, crowded, width).dropDuplicates(["doc_id"]), percent))
     few = groups.where(F.col("df") <= rare_limit).select(*columns, F.lit(False).alias("crowd"))
     rows = common.materialise(few.unionByName(keyed.select(*columns, F.lit(True).alias("crowd"))), "groups")
+    common.drop_table(groups)
 
     stars = rows.where(F.col("rep") != F.col("centre")).where(_sizes_fit(F.col("n"), F.col("centre_n"), percent))
     checked = _checked(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), docs, reps, width, percent)
