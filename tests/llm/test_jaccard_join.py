@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keystrata.llm import jaccard_join as j
@@ -82,3 +83,22 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, connected_components(edges, "a", "b").collect()))
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+@pytest.mark.parametrize("postings,stream", [(1, 1), (7, 3), (1 << 20, 512)])
+def test_block_links_in_parts(monkeypatch, postings, stream):
+    """However finely postings and rows are cut, the links are those of a plain comparison."""
+    monkeypatch.setattr(j, "POSTINGS", postings)
+    monkeypatch.setattr(j, "STREAM_ROWS", stream)
+    rng, percent = np.random.default_rng(9), 80
+    centre = set(range(40))
+    sets = [centre - set(rng.choice(40, rng.integers(0, 9)).tolist()) | set((100 + rng.choice(12, rng.integers(0, 7))).tolist()) for _ in range(30)]
+    rows = [(role, i + 1, len(s), i + 1, len(centre), sorted(s ^ centre)) for role in (0, 1) for i, s in enumerate(sets) if role or i % 2]
+    types = [("role", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("m", pa.int64()), ("d", pa.list_(pa.int64()))]
+    arrays = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)]
+    zero = pa.array([0] * len(rows), pa.int64())
+    batch = pa.RecordBatch.from_arrays([zero, zero, *arrays], names=["centre", "block", *[t[0] for t in types]])
+    got = {(a, b) for out in j.block_links(percent)(iter([batch.slice(0, 11), batch.slice(11)])) for a, b in zip(*out.to_pydict().values(), strict=True)}
+    linked = lambda s, t: 100 * len(s & t) >= percent * len(s | t)
+    want = {(i + 1, k + 1) for i, s in enumerate(sets) for k, t in enumerate(sets) if i < k and (i % 2 or k % 2) and linked(s, t)}
+    assert got == want and 0 < len(want)
