@@ -362,6 +362,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     few = groups.where(F.col("df") <= rare_limit).select(*columns, F.lit(False).alias("crowd"))
     rows = common.materialise(few.unionByName(keyed.select(*columns, F.lit(True).alias("crowd"))), "groups")
     common.drop_table(groups)
+    common.drop_table(crowded)
 
     stars = rows.where(F.col("rep") != F.col("centre")).where(_sizes_fit(F.col("n"), F.col("centre_n"), percent))
     checked = _checked(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), docs, reps, width, percent)
@@ -370,6 +371,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     pairs = few_pairs(rows.where("not crowd"), labels, checked, percent)
     more = _checked(pairs, docs, reps, width, percent).where("linked").select("a", "b")
     members = common.materialise(open_members(rows.where("crowd"), labels), "open")
+    common.drop_table(rows)
+    common.drop_table(reps)
     if not members.isEmpty():
         more = more.unionByName(residual_links(members, docs, width, percent))
     if not more.isEmpty():
@@ -383,9 +386,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
 def _checked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     likely = common.materialise(sketch_filter(pairs, reps, percent), "likely")
     ids = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-    sets = common.materialise(full_sets(docs, common.materialise(ids, "ids"), width).dropDuplicates(["doc_id"]), "sets")
+    ids = common.materialise(ids, "ids")
+    sets = common.materialise(full_sets(docs, ids, width).dropDuplicates(["doc_id"]), "sets")
     out = common.materialise(verify(likely, sets, percent), "checked")
-    common.drop_table(sets)
+    for spent in (likely, ids, sets):
+        common.drop_table(spent)
     return out
 
 
