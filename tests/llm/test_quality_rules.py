@@ -69,3 +69,17 @@ def test_table_cases(spark, rows):
     assert q.quality_rules(df).count() == len(rows)
     assert q.filter_documents(df).columns == df.columns
     assert q.filter_documents(df).count() == 0
+
+
+def test_the_last_partial_chunk_counts():
+    noise = np.random.default_rng(2).bytes(3000)
+    assert q.compression_verdict(b"a" * q.CHUNK_BYTES + noise, SQUEEZE)[2:] == (2, 2)
+    assert q.compression_verdict(b"a" * q.CHUNK_BYTES + b"short", SQUEEZE)[2:] == (2, 1)
+
+
+def test_bands_part_labelled_texts_that_the_word_rule_keeps(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = q.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").where("not base_failed").collect()
+    bad, good = ([r.kept for r in rows if r.quality == k] for k in (0, 1))
+    assert 3 * bad.count(False) > len(bad) and 200 * good.count(False) <= len(good)
