@@ -1,11 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
 Text becomes a template: numbers, units and names (capitalised words inside a sentence) turn into typed placeholders,
-other words are lower-cased without the punctuation around them. Windows of template tokens are joined by hash with
-the benchmark's. Matches of one document and item at one shift form a placement; its runs of consecutive windows
-count if they span enough tokens and their slots are consistent: one item value always stands against one document
-value and the other way round. That catches a question whose numbers and names were exchanged, and lets go text that
-merely has the same shape.
+other words are lower-cased without the punctuation around them. A capitalised word that begins a sentence may be
+either, so windows over such words are taken twice: with all of them literal and with all of them names. Windows of
+template tokens are joined by hash with the benchmark's. Matches of one document and item at one shift form a
+placement; its runs of windows count if they span enough tokens and their slots are consistent: one item value always
+stands against one document value. That catches a question whose numbers and names were exchanged, and lets go text
+that merely has the same shape.
+
+Runs are judged as windows that follow each other, that overlap, and that leave at most BRIDGE tokens between them; only
+tokens inside matching windows are counted. Where slots contradict each other, the longest part without contradiction
+counts if it has MIN_PART tokens: more than a run needs, as the contradiction speaks for a mere likeness.
 
 Documents only send windows that pass a fixed-size bitmap of the benchmark's hashes; the join itself is exact, and
 Spark deals or broadcasts the benchmark's side by its size. Null or empty texts and items have no windows; a repeated
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -30,6 +35,9 @@ WINDOW = 8
 #: Literal tokens a window needs at least, and template tokens that a run must span (or the whole item, if shorter).
 MIN_LITERALS = 4
 MIN_RUN = 13
+#: Unmatched tokens that a run may span in one place, and tokens of a consistent part of a run that contradicts itself.
+BRIDGE = 2
+MIN_PART = 26
 BITMAP_BITS = 20
 CACHE_WORDS = 200_000
 
@@ -66,77 +74,146 @@ class Canonicaliser:
         self.window, self.min_literals = window, min_literals
         self.codes = UnitCache(word_code, CACHE_WORDS)
 
-    def template(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token hashes, whether each is a slot, and its place among words (punctuation alone has none)."""
+    def template(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Token hashes and whether each is a slot, the same with sentence starts as names, and places among words
+        (punctuation alone has none)."""
         codes = np.fromiter(map(self.codes.__getitem__, words), np.uint64, len(words))
         at = np.flatnonzero(codes)
         codes = codes[at]
         flags = codes & np.uint64(15)
         starts = np.ones(len(codes), bool)
         starts[1:] = (flags[:-1] & np.uint64(ENDS)) != 0
-        name = ((flags & np.uint64(CAPITAL)) != 0) & ~starts
-        return np.where(name, NAME_HASH, codes ^ flags), name | ((flags & np.uint64(NUM | UNIT)) != 0), at
+        capital, typed = (flags & np.uint64(CAPITAL)) != 0, (flags & np.uint64(NUM | UNIT)) != 0
+        inner = capital & ~starts
+        return np.where(inner, NAME_HASH, codes ^ flags), inner | typed, np.where(capital, NAME_HASH, codes ^ flags), capital | typed, at
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """Of all windows with enough literals: hash, text index, token place; and per text words, slots and places."""
+        """Of all windows with enough literals: hash, text index, token place, 1 where sentence starts are names (only
+        windows that have some); and per text words, slots and places."""
         words = [t.split() for t in texts]
         parts = [self.template(w) for w in words]
-        doc = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
-        tokens, slots = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (0, 1))
-        if len(tokens) < self.window:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), words, parts
-        keys, at = common.shingle_hash(tokens.astype(np.uint64), doc, self.window)
-        literals = np.concatenate(([0], np.cumsum(~slots.astype(bool))))
-        ok = literals[at + self.window] - literals[at] >= self.min_literals
-        keys, at = keys[ok], at[ok]
-        first = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
-        return keys, doc[at], at - first[doc[at]], words, parts
-
-    def slots(self, words: list[str], part: tuple, place: int) -> list[str]:
+        sizes = [len(p[4]) for p in parts]
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in range(4)]
+        if len(doc) < self.window:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), words, parts
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        changed = np.concatenate(([0], np.cumsum(columns[1] != columns[3])))
+        found = []
+        for named in (0, 1):
+            tokens, slots = columns[2 * named : 2 * named + 2]
+            keys, at = common.shingle_hash(tokens.astype(np.uint64), doc, self.window)
+            literals = np.concatenate(([0], np.cumsum(~slots.astype(bool))))
+            ok = literals[at + self.window] - literals[at] >= self.min_literals
+            if named:
+                ok &= changed[at + self.window] > changed[at]
+            found.append((keys[ok], at[ok], np.full(int(ok.sum()), named)))
+        keys, at, named = (np.concatenate(x) for x in zip(*found, strict=True))
+        return keys, doc[at], at - first[doc[at]], named, words, parts
+
+    def slots(self, words: list[str], part: tuple, place: int, named: int) -> list[str]:
         """The window's values, an empty string for each literal token."""
-        _, slot, at = part
+        slot, at = part[2 * named + 1], part[4]
         return [words[at[i]].strip(PUNCTUATION) if slot[i] else "" for i in range(place, place + self.window)]
 
 
+def _stretches(places: list[int], step: int) -> Iterator[list[int]]:
+    """places, ascending, cut where the next one is more than step away."""
+    begin = 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] - places[i - 1] > step:
+            yield places[begin:i]
+            begin = i
+
+
+def _longest(values: list[tuple[str, str] | None]) -> int:
+    """Length of the longest part in which no item value stands against two document values; None is a literal."""
+    best = begin = 0
+    last: dict[str, tuple[str, int]] = {}  # the value's document value, and its last place with it
+    other: dict[str, int] = {}  # the value's last place with another document value than that
+    for i, pair in enumerate(values):
+        if pair is not None:
+            have = last.get(pair[0])
+            if have is not None and have[0] != pair[1]:
+                other[pair[0]] = have[1]
+            last[pair[0]] = (pair[1], i)
+            begin = max(begin, other.get(pair[0], -1) + 1)
+        best = max(best, i + 1 - begin)
+    return best
+
+
+def placement_tokens(found: list[tuple[int, int, list[str], list[str]]], size: int, window: int = WINDOW, min_run: int = MIN_RUN) -> int:
+    """Tokens of the placement's longest run that counts, 0 if none does. found: item place, how many of the two sides
+    took sentence starts for names, item values, document values; size: the item's tokens."""
+    at: dict[int, tuple] = {}
+    for row in sorted(found, key=lambda r: r[:2]):
+        at.setdefault(row[0], row)
+    places, least, best = sorted(at), min(min_run, size), 0
+    plain = [p for p in places if not at[p][1]]
+    for chosen, step in ((plain, 1), (places, 1), (places, window), (places, window + BRIDGE)):
+        for run in _stretches(chosen, step):
+            values: dict[int, tuple[str, str] | None] = {}
+            for p in run:
+                for i, pair in enumerate(zip(at[p][2], at[p][3], strict=True), p):
+                    # A token that is equal as a literal in one window needs no slot in another.
+                    values[i] = None if not pair[0] or values.get(i, pair) is None else pair
+            n = len(values)
+            if n < least or n <= best:
+                continue
+            part = _longest([values[i] for i in sorted(values)])
+            if part == n or part >= MIN_PART:
+                best = max(best, part)
+    return best
+
+
 def _windows(df: DataFrame, key: str, bitmap: bytes | None, window: int, min_literals: int) -> DataFrame:
-    """(key, n_tokens, h, pos, slots) of every window, or of those whose hash is in the bitmap."""
+    """(key, n_tokens, h, pos, named, slots) of every window, or of those whose hash is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canonicaliser(window, min_literals)
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool) if bitmap is not None else None
         for piece in common.pieces(batches):
             ids = piece.column(key).cast(pa.int64()).to_pylist()
-            keys, doc, place, words, parts = canon.windows([t or "" for t in piece.column("text").to_pylist()])
+            keys, doc, place, named, words, parts = canon.windows([t or "" for t in piece.column("text").to_pylist()])
             hit = np.arange(len(keys)) if bits is None else np.flatnonzero(bits[keys >> np.uint64(64 - BITMAP_BITS)])
             if len(hit):
-                d, p = doc[hit].tolist(), place[hit].tolist()
-                slots = [canon.slots(words[i], parts[i], j) for i, j in zip(d, p, strict=True)]
+                d, p, k = doc[hit].tolist(), place[hit].tolist(), named[hit].tolist()
+                slots = [canon.slots(words[i], parts[i], j, m) for i, j, m in zip(d, p, k, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in d], pa.int64()), pa.array([len(parts[i][0]) for i in d], pa.int64()), pa.array(keys[hit].view(np.int64)), pa.array(p, pa.int64()), pa.array(slots, pa.list_(pa.string()))],
-                    names=[key, "n_tokens", "h", "pos", "slots"],
+                    [pa.array([ids[i] for i in d], pa.int64()), pa.array([len(parts[i][4]) for i in d], pa.int64()), pa.array(keys[hit].view(np.int64)), pa.array(p, pa.int64()), pa.array(k, pa.int32()), pa.array(slots, pa.list_(pa.string()))],
+                    names=[key, "n_tokens", "h", "pos", "named", "slots"],
                 )
 
-    return df.select(key, "text").mapInArrow(run, f"{key} bigint, n_tokens bigint, h bigint, pos bigint, slots array<string>")
+    return df.select(key, "text").mapInArrow(run, f"{key} bigint, n_tokens bigint, h bigint, pos bigint, named int, slots array<string>")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_run: int = MIN_RUN, min_literals: int = MIN_LITERALS) -> DataFrame:
     """(doc_id, item_id, tokens): documents that hold a consistent run of an item, and its longest run's tokens."""
-    items = common.materialise(_windows(benchmark, "item_id", None, window, min_literals).dropDuplicates(["item_id", "h", "pos"]), "templates")
+    items = common.materialise(_windows(benchmark, "item_id", None, window, min_literals).dropDuplicates(["item_id", "h", "pos", "named"]), "templates")
     # At most 2^BITMAP_BITS numbers, whatever the benchmark's size.
     found = items.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).cast("int").alias("b")).distinct().collect()
     bits = np.zeros(1 << BITMAP_BITS, bool)
     bits[[r.b for r in found]] = True
     seen = _windows(docs, "doc_id", np.packbits(bits).tobytes(), window, min_literals)
-    item = items.select("item_id", "h", F.col("n_tokens").alias("size"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    met = seen.select("doc_id", "h", "pos", "slots").join(item, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
-    met = met.dropDuplicates(["doc_id", "item_id", "shift", "item_pos"])
-    by = ["doc_id", "item_id", "shift"]
-    # A placement has at most as many rows as its item has windows.
-    met = met.withColumn("run", F.col("item_pos") - F.row_number().over(Window.partitionBy(*by).orderBy("item_pos")))
-    pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots"))))
-    runs = met.groupBy(*by, "run", "size").agg((F.count(F.lit(1)) + window - 1).alias("tokens"), pairs.alias("pairs"))
-    one_way = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    good = runs.where((F.col("tokens") >= F.least(F.lit(min_run), F.col("size"))) & one_way("item_slots") & one_way("slots"))
+    item = items.select("item_id", "h", F.col("n_tokens").alias("size"), F.col("pos").alias("item_pos"), F.col("named").alias("item_named"), F.col("slots").alias("item_slots"))
+    met = seen.select("doc_id", "h", "pos", "named", "slots").join(item, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
+    met = met.withColumn("named", F.col("named") + F.col("item_named")).dropDuplicates(["doc_id", "item_id", "shift", "item_pos", "named"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                n = placement_tokens([(x["item_pos"], x["named"], x["item_slots"], x["slots"]) for x in r["found"]], r["size"], window, min_run)
+                if n:
+                    rows.append((r["doc_id"], r["item_id"], n))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "tokens"])
+
+    # A placement has at most three rows for each of its item's windows.
+    placed = met.groupBy("doc_id", "item_id", "shift", "size").agg(F.collect_list(F.struct("item_pos", "named", "item_slots", "slots")).alias("found"))
+    # No run is longer than the stretch from the first window to the last.
+    reach = F.array_max("found.item_pos") - F.array_min("found.item_pos") + window
+    good = placed.where(reach >= F.least(F.lit(min_run), F.col("size"))).mapInArrow(judge, "doc_id bigint, item_id bigint, tokens bigint")
     return good.groupBy("doc_id", "item_id").agg(F.max("tokens").alias("tokens"))
 
 

@@ -41,3 +41,27 @@ def test_every_whole_item_in_the_tables_is_found(spark):
     words = {i: t.split() for i, t in items.items()}
     texts = {r.doc_id: " ".join(r.text.split()) for r in docs.collect()}
     assert all(any(" ".join(words[i][k : k + 8]) in texts[doc] for k in range(len(words[i]) - 7)) for doc, i in got)
+
+
+def test_names_at_sentence_starts(spark):
+    item = "Tom bought 12 pencils for 3 dollars. Anna bought 7 pencils for 2 dollars. How many pencils did Tom buy?"
+    swap = item.replace("Tom", "Kim").replace("Anna", "Lea")
+    rows = [(1, PROSE + ". " + swap), (2, swap.replace("12", "5").replace("7", "5")), (3, PROSE)]
+    assert {k for k, v in flags(spark, rows, [(1, item)])[0].items() if v[0]} == {1, 2}
+
+
+def test_two_values_may_become_one_and_long_parts_count(spark):
+    long = ITEM + " " + ITEM.replace("Paris", "Oslo").replace("Lyon", "Rome").replace("120", "300")
+    one = ITEM.replace("9", "8").replace("10", "8")
+    other = long.replace("Paris", "Bonn").replace("towards Rome while", "towards Kiel while")
+    got = flags(spark, [(1, one), (2, other), (3, ITEM.replace("another", "every other"))], [(1, ITEM), (2, long)])[0]
+    assert got[1][2] == [1, 2] and 2 in got[2][2]
+
+
+def test_runs_bridge_unmatched_tokens():
+    literal = lambda p, named=0: (p, named, [""] * 8, [""] * 8)
+    assert d.placement_tokens([literal(0), literal(9)], 40) == 16
+    assert d.placement_tokens([literal(0), literal(11)], 40) == 0
+    pair = lambda p, a, b: (p, 0, [a] + [""] * 7, [b] + [""] * 7)
+    assert d.placement_tokens([pair(0, "x", "y"), pair(8, "x", "z")], 40) == 0
+    assert d.placement_tokens([pair(8 * i, "x", "y" if i else "z") for i in range(6)], 60) == 47
