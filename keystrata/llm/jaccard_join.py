@@ -394,8 +394,31 @@ def _checked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, per
     return out
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with a key of its own, above all ids, in place of every null doc_id; and the greatest id."""
+    last, rows, ids = docs.agg(F.max("doc_id"), F.count(F.lit(1)), F.count("doc_id")).first()
+    last = 0 if last is None else last
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    if rows == ids:
+        return docs, last
+    # Written, since the keys must be the same whenever they are read.
+    unkeyed = common.materialise(docs.where("doc_id is null").withColumn("doc_id", F.monotonically_increasing_id() + F.lit(last + 1)), "unkeyed")
+    return docs.where("doc_id is not null").unionByName(unkeyed), last
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs that are their group's least doc_id; all columns kept."""
-    groups = jaccard_components(docs, width, percent)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Rows of docs that are their group's least doc_id; all columns kept.
+
+    A null doc_id counts as an id of its own above all others: such a row stays unless its group has a row that comes
+    before it. Of rows that repeat a doc_id and its text one stays; rows of one doc_id with different texts are not
+    told apart and stay or go together.
+    """
+    rows, last = keyed(docs)
+    groups = jaccard_components(rows, width, percent)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    kept = common.materialise(kept, "kept")
+    out = rows.join(kept.select("doc_id"), "doc_id", "left_semi")
+    repeated = kept.where("times > 1").select("doc_id")
+    if not repeated.isEmpty():
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") <= F.lit(last), F.col("doc_id")).cast(docs.schema["doc_id"].dataType)).select(*docs.columns)

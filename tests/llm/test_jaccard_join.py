@@ -102,3 +102,13 @@ def test_block_links_in_parts(monkeypatch, postings, stream):
     linked = lambda s, t: 100 * len(s & t) >= percent * len(s | t)
     want = {(i + 1, k + 1) for i, s in enumerate(sets) for k, t in enumerate(sets) if i < k and (i % 2 or k % 2) and linked(s, t)}
     assert got == want and 0 < len(want)
+
+
+def test_keep_one_with_null_ids_and_repeated_rows(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (None, c + " end", "x"), (3, c, "x"), (3, c, "x"), (5, "alone", "x"), (5, "alone", "x"), (None, "", "x"), (7, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = j.keep_one(df)
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(None, a, "x"), (None, b, "x"), (3, c, "x"), (5, "alone", "x"), (None, "", "x"), (7, None, "x")], key=str)
+    assert out.schema == df.schema
