@@ -2,13 +2,13 @@
 
 File format. Ids are cut into blocks of BLOCK_IDS. A block is transposed into byte planes (all lowest bytes, then all
 second bytes, ..) or bit planes; planes that are zero throughout are left out, every other plane is compressed by
-zstandard on its own. After the blocks come a document table (ids and lengths, compressed) and a chunk index: for
-every block its offset, number of ids, plane kind, number of planes and the planes' sizes. The last 16 bytes are the
+zstandard on its own. After the blocks come a document table (ids, lengths and one byte each that is 0 for a null id,
+compressed) and a chunk index: for every block its offset, number of ids, plane kind, number of planes and the planes' sizes. The last 16 bytes are the
 index's offset and size. A reader seeks to any id range through the index and holds one block at a time.
 
 Files are made per range of doc_id, ascending, in the shared folder, under a name of their own that is moved into
 place when complete; a retried task writes the same bytes. Null text counts as empty and yields the end id alone;
-rows that repeat a doc_id stay, ordered by their text; an empty table gives no files and an empty result.
+rows that repeat a doc_id stay, ordered by their text; null ids come first, ordered likewise; an empty table gives no files and an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 from .sentencepiece_codec import UnitCache
 
-MAGIC = b"KSPLANE1"
+MAGIC = b"KSPLANE2"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 CACHE_UNITS = 200_000
@@ -73,15 +73,16 @@ class PlaneWriter:
         self.held = self.offset = self.total = 0
         self.index = io.BytesIO()
         self.blocks = 0
-        self.doc_ids, self.lengths = array("q"), array("q")
+        self.doc_ids, self.lengths, self.present = array("q"), array("q"), bytearray()
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
         self.sink.write(data)
         self.offset += len(data)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.doc_ids.append(doc_id or 0)
+        self.present.append(doc_id is not None)
         self.lengths.append(len(ids))
         self.pending.append(ids)
         self.held += len(ids)
@@ -105,7 +106,7 @@ class PlaneWriter:
 
     def close(self) -> None:
         self._blocks(last=True)
-        docs = self.squeeze(self.doc_ids.tobytes() + self.lengths.tobytes())
+        docs = self.squeeze(self.doc_ids.tobytes() + self.lengths.tobytes() + self.present)
         at = self.offset
         self._put(docs)
         index = struct.pack("<QQQQ", at, len(docs), len(self.doc_ids), self.blocks) + self.index.getvalue()
@@ -125,8 +126,9 @@ class PlaneReader:
         self.expand = zstandard.ZstdDecompressor().decompress
         at, n, self.n_docs, blocks = struct.unpack_from("<QQQQ", index)
         docs = self.expand(self._at(at, n)) if self.n_docs else b""
-        table = np.frombuffer(docs, "<i8")
+        table = np.frombuffer(docs, "<i8", 2 * self.n_docs)
         self.doc_ids, self.lengths = table[: self.n_docs], table[self.n_docs :]
+        self.present = np.frombuffer(docs, np.uint8, self.n_docs, 16 * self.n_docs).astype(bool)
         self.blocks, place = [], 32
         for _ in range(blocks):
             offset, count, bit, planes = struct.unpack_from("<QIBB", index, place)
@@ -154,10 +156,10 @@ class PlaneReader:
             first, i = int(ends[i]), i + 1
         return np.concatenate(found) if found else np.zeros(0, "<u4")
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(doc_id, ids) in file order, a block in memory at a time."""
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
+        """(doc_id or None, ids) in file order, a block in memory at a time."""
         held, i = np.zeros(0, "<u4"), 0
-        for doc_id, n in zip(self.doc_ids.tolist(), self.lengths.tolist(), strict=True):
+        for doc_id, n, present in zip(self.doc_ids.tolist(), self.lengths.tolist(), self.present.tolist(), strict=True):
             got = [held]
             have = len(held)
             while have < n:
@@ -165,7 +167,7 @@ class PlaneReader:
                 have += len(got[-1])
                 i += 1
             held = np.concatenate(got) if len(got) > 1 else held
-            yield doc_id, held[:n]
+            yield doc_id if present else None, held[:n]
             held = held[n:]
 
 
@@ -277,7 +279,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, plane
             store.move(draft, f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"file": [name], "part": pa.array([part], pa.int32()), "n_docs": [len(writer.lengths)], "n_tokens": [writer.total]})
 
-    ranged = docs.select("doc_id", "text").where("doc_id is not null").repartitionByRange(n_parts, "doc_id")
+    # Null ids are ranged by how their texts begin, so that they need not meet in one task.
+    begins = F.when(F.col("doc_id").isNull(), F.substring("text", 1, 64))
+    ranged = docs.select("doc_id", "text").repartitionByRange(n_parts, F.col("doc_id"), begins)
     return ranged.sortWithinPartitions("doc_id", "text").mapInArrow(run, INDEX_SCHEMA)
 
 

@@ -54,3 +54,15 @@ def test_table_round_trip(spark, planes):
         start += len(ids)
     assert got == want
     assert t.token_round_trip(spark, df.limit(0), PATH).count() == 0
+
+
+def test_null_ids_come_first(spark):
+    rows = [(9, "The end"), (None, "b"), (0, "x"), (None, None), (-4, "y"), (None, "a " * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, t.token_round_trip(spark, df, PATH).collect()), key=lambda r: r[1])
+    start, want = 0, []
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = LIB.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
