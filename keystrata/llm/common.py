@@ -45,7 +45,10 @@ def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by materialise(), once nothing lazy reads it any more."""
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsc.hadoopConfiguration()
+    ours = shared_dir(df.sparkSession).rsplit("/", 1)[-1]
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if f"/{ours}/" not in folder:
+            raise ValueError(f"{folder} is not a table of the shared folder")
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 

@@ -1,23 +1,26 @@
 """Exact Jaccard self-join of word shingle sets by token-combination prefixes.
 
-Tokens are 64-bit shingle hashes, ordered by hash. Two sets that link share at least k tokens among their extended
-prefixes (prefix length plus k - 1). Exact copies are folded first. Then:
-
-* a token that few extended prefixes hold is rare and indexed singly;
-* a document with k or more frequent tokens in its extended prefix may share frequent tokens only. It is indexed by
-  token combinations: its set is dealt by hash into so many classes that a linked partner must agree on all tokens of
-  at least one non-empty class, and each class's whole combination is a key. Classes depend on the size band alone;
+Tokens are 64-bit shingle hashes. Two sets that link share at least k tokens among their extended prefixes (prefix
+length plus k - 1) in any common order of tokens. Exact copies are folded first. Then:
+
+* prefixes by hash are counted; a token that few extended prefixes hold is rare and indexed singly;
+* a document with k or more frequent tokens in that prefix may share frequent tokens only. Among such documents all
+  tokens are counted and prefixes are taken again, the least frequent tokens first. Frequent tokens are dealt into
+  classes and the pairs inside a class are the keys; the prefix is extended by one token a class, so that a linked
+  partner shares two tokens of one class. Rare tokens there are keys by themselves;
 * every key's group is compared with its least member only (a star, so rows stay linear in the group's size), pairs
   are first held to the number of tokens their prefix sketches must share, then verified on the whole sets;
 * components of the links so far are found. A rare token's group, small by definition, still gives the pairs between
-  its components. Where a combination's group holds several components, its members outside the centre's are held in
-  blocks and all its members stream past them as differences from the centre's set, which give every overlap exactly;
-  only links come out, never pairs.
+  its components. Where a combination's group holds several components, its members go to the home of the largest;
+  those outside the home's component are held in blocks and all members of the home stream past them as differences
+  from its least set, which give every overlap exactly; only links come out, never pairs.
 
 No link between different texts is lost and nothing is capped.
 
 Null and empty texts have an empty set and link with nothing; fewer words than the width make one token of the whole
-sequence. Repeated rows fold like copies. Extra columns are ignored; an empty table gives an empty result.
+sequence. A text of any length is read whole. Repeated rows fold like copies; a doc_id with several texts stands for
+several documents, and so does each null doc_id. Ties have no say: orders end in the token itself. Extra columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,38 +113,44 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
 
 
-def bands(percent: int, n: int) -> tuple[int, int, int]:
-    """Band number of size n and the ends of its band and the next: partners lie in the same or a neighbouring band."""
-    i, low = 0, 1
-    while True:
+def schemes(n: int, percent: int) -> list[tuple[int, int]]:
+    """(number, classes) of the two schemes under which a set of n is indexed: its own size band's and the next one's.
+
+    Partners lie in the same or a neighbouring band, so they have a scheme in common that belongs to the larger one's
+    band. A scheme deals tokens into its classes; extended prefixes longer by the number of classes share one token
+    more than there are classes, hence two in one class. Without classes (small sets) single tokens are the keys.
+    """
+    i, low, found = 0, 1, []
+    while len(found) < 2:
         high = low * 100 // percent + 1
         if n < high:
-            return i, high, high * 100 // percent + 1
+            found.append((i, min(prefix_length(high - 1, percent) // 4, least_overlap(low, percent) - 1)))
         i, low = i + 1, high
-
-
-def classes(size_end: int, percent: int) -> tuple[int, int]:
-    """Classes for sets below size_end, and how many of them may be empty before the empty key is needed."""
-    union = 100 * (size_end - 1) // percent
-    differ = (100 - percent) * union // 100
-    slack = max(1, differ // 16)
-    return differ + 1 + slack, slack
-
-
-def combination_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set's token combinations, one per non-empty class of its own band's scheme and of the next one's."""
-    band, *ends = bands(percent, len(tokens))
-    found = []
-    for scheme, end in zip((band, band + 1), ends, strict=True):
-        m, slack = classes(end, percent)
-        seed = common.mix(np.array([scheme + 1], np.uint64))[0]
-        cls = (common.mix(tokens ^ seed) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(cls, kind="stable")
-        used, first = np.unique(cls[order], return_index=True)
-        sums = np.add.reduceat(common.mix(tokens[order] + seed), first)
-        found.append(common.mix(sums ^ common.mix(used.astype(np.uint64) + seed)))
-        if m - len(used) > slack:
-            found.append(common.mix(np.array([seed], np.uint64)))
+    return found
+
+
+def combination_keys(tokens: np.ndarray, df: np.ndarray, n: int, percent: int, rare_limit: int = RARE_LIMIT) -> np.ndarray:
+    """Keys of a set of n: its rare tokens singly, of its frequent ones the pairs in one class, or they too singly
+    where a scheme has no classes. tokens: those that other sets hold too, in the order of prefixes, with their
+    frequencies df; the set's own tokens come before all of them."""
+    own, found = n - len(tokens), []
+    longest = prefix_length(n, percent) + max(c for _, c in schemes(n, percent)) - own
+    found.append(common.mix(tokens[: max(0, longest)][df[: max(0, longest)] <= rare_limit]))
+    for number, c in schemes(n, percent):
+        length = max(0, prefix_length(n, percent) + c - own)
+        often = tokens[:length][df[:length] > rare_limit]
+        seed = common.mix(np.array([number + 1], np.uint64))[0]
+        if not c:
+            found.append(common.mix(often ^ seed))
+            continue
+        cls = (common.mix(often ^ seed) % np.uint64(c)).astype(np.int64)
+        order = np.lexsort((often, cls))
+        often, cls = common.mix(often[order] ^ seed), cls[order]
+        for step in range(1, len(often)):  # pairs within a class: places that are step apart
+            same = cls[step:] == cls[:-step]
+            if not same.any():
+                break
+            found.append(common.mix(often[:-step][same] * np.uint64(3) + often[step:][same]))
     return np.concatenate(found)
 
 
@@ -162,18 +171,28 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return pick(docs.select("doc_id", "text"), ids).mapInArrow(run, "doc_id bigint, tokens array<bigint>")
 
 
-def combinations(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, n): one row per combination of each set."""
+def combinations(sets: DataFrame, percent: int, rare_limit: int) -> DataFrame:
+    """(key, rep, n): one row per rare token or token combination of each set's extended prefix.
+
+    Prefixes follow the tokens' frequencies among these sets, the least first, so a set reaches its frequent tokens
+    only if nearly all of its tokens are shared ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, tokens in enumerate(batch.column("tokens")):
-                keys = combination_keys(np.asarray(tokens.values).view(np.uint64), percent)
-                k = len(keys)
-                ids = pa.array(np.full(k, batch.column("doc_id")[i].as_py()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), ids, pa.array(np.full(k, len(tokens)), pa.int64())], names=["key", "rep", "n"])
+            for i, (rep, n, shared) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("shared"), strict=True)):
+                tokens, df = (shared.values.field(c).to_numpy(zero_copy_only=False) for c in ("token", "df"))
+                keys = np.unique(combination_keys(tokens.view(np.uint64), df, n, percent, rare_limit))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), rep), pa.int64()), pa.array(np.full(len(keys), n), pa.int64())], names=["key", "rep", "n"])
 
-    return sets.mapInArrow(run, "key bigint, rep bigint, n bigint")
+    tokens = sets.select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # What a set may hold of its own and still reach a shared token: its prefix and, at most, the next band's classes.
+    ratio = 100 / percent
+    classes = F.lit(ratio * ratio * (1 - 1 / ratio) / 4) * F.col("n") + F.lit(((ratio + 2) * (1 - 1 / ratio) + 1) / 4)
+    reach = F.col("n") - F.size("shared") < F.col("n") - _overlap(F.col("n"), percent) + 1 + classes
+    ordered = tokens.join(often, "token").groupBy(F.col("doc_id").alias("rep"), "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    return ordered.where(reach).mapInArrow(run, "key bigint, rep bigint, n bigint")
 
 
 def _overlap(n: Column, percent: int) -> Column:
@@ -227,25 +246,24 @@ def few_pairs(groups: DataFrame, labels: DataFrame, checked: DataFrame, percent:
 
 
 def open_members(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(centre, rep, n, component, outside): who must still be compared, under each centre.
+    """(home, rep, n, component): who must still be compared, and with whom.
 
-    Taken are the members of groups that hold several components. ``outside`` marks those not in their centre's
-    component; any pair that is still open has one of them.
+    A group that holds several components has one of them as its home, the largest over all documents, so that the
+    groups of one cluster of near copies share a home and a member has one row there however many groups it is in.
+    Members outside their home's component are the open ones: any pair that is still open has one of them.
     """
-    rows = groups.select("key", "rep", "n", "centre")
-    rows = rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    members = rows.join(mixed, "key").where("rep <> centre").select("centre", "rep", "n", "component").distinct()
-    own = labels.select(F.col("node").alias("centre"), F.col("component").alias("own"))
-    members = members.join(own, "centre", "left").withColumn("outside", F.col("component") != F.coalesce("own", "centre"))
-    several = members.groupBy("centre").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("centre")
-    return members.join(several, "centre").drop("own")
+    sized = labels.join(labels.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    rows = groups.select("key", "rep", "n").join(sized.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = rows.select("key", "rep", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.struct("size", "component")).alias("main"))
+    mixed = mixed.where("c1 <> c2").select("key", F.col("main.component").alias("home"))
+    return rows.join(mixed, "key").select("home", "rep", "n", "component").distinct()
 
 
 def block_links(percent: int):
-    """Reader of rows sorted by (centre, block, role): a block's outside members (role 0), then all members (role 1).
+    """Reader of rows sorted by (home, block, role): a block's outside members (role 0), then all members (role 1).
 
-    With a, b tokens of two sets in the centre's set of m, and D their differences from it, the sets share
+    With a, b tokens of two sets in the home's least set of m, and D their differences from it, the sets share
     a + b - m + |D1 & D2| tokens. The block stays in memory, the members stream past it.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -295,7 +313,7 @@ def block_links(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, block, seen = None, [], None, set()
         for batch in batches:
-            centre, number, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("centre", "block", "role"))
+            centre, number, role = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("home", "block", "role"))
             change = np.flatnonzero((centre[1:] != centre[:-1]) | (number[1:] != number[:-1]) | (role[1:] != role[:-1])) + 1
             edges = sorted({*change.tolist(), *range(0, batch.num_rows, STREAM_ROWS), batch.num_rows})
             found = []
@@ -317,32 +335,78 @@ def block_links(percent: int):
 
 
 def residual_links(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components among open members, exactly, at least one for every two components of a centre
+    """Links (a, b) between components among open members, exactly, at least one for every two components of a home
     that a link joins. Nothing is emitted for pairs that do not link."""
-    ids = members.select(F.col("rep").alias("doc_id")).unionByName(members.select(F.col("centre").alias("doc_id"))).distinct()
+    ids = members.select(F.col("rep").alias("doc_id")).unionByName(members.select(F.col("home").alias("doc_id"))).distinct()
     sets = common.materialise(full_sets(docs, common.materialise(ids, "ids"), width).dropDuplicates(["doc_id"]), "sets")
     side = lambda k, t: sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(t))
-    rows = members.join(side("rep", "t"), "rep").join(side("centre", "c"), "centre")
-    rows = rows.select("centre", "rep", "n", "component", "outside", F.size("c").cast("bigint").alias("m"), F.concat(F.array_except("t", "c"), F.array_except("c", "t")).alias("d"))
+    rows = members.join(side("rep", "t"), "rep").join(side("home", "c"), "home")
+    outside = F.col("component") != F.col("home")
+    rows = rows.select("home", "rep", "n", "component", outside.alias("outside"), F.size("c").cast("bigint").alias("m"), F.concat(F.array_except("t", "c"), F.array_except("c", "t")).alias("d"))
     rows = common.materialise(rows, "differences")
     common.drop_table(sets)
-    stats = rows.where("outside").groupBy("centre").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("d")).alias("t"))
+    stats = rows.where("outside").groupBy("home").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("d")).alias("t"))
     blocks = F.greatest(F.ceil(F.col("k") / F.lit(BLOCK_ROWS)), F.ceil(F.col("t") / F.lit(BLOCK_TOKENS))).cast("int")
-    dealt = rows.join(stats.select("centre", blocks.alias("blocks")), "centre")
-    columns = ["centre", "block", "role", "rep", "n", "component", "m", "d"]
-    outside = dealt.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
+    dealt = rows.join(stats.select("home", blocks.alias("blocks")), "home")
+    columns = ["home", "block", "role", "rep", "n", "component", "m", "d"]
+    open_ones = dealt.where("outside").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
     everyone = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    both = outside.select(*columns).unionByName(everyone.select(*columns)).repartition(common.parts(docs.sparkSession), "centre", "block")
-    links = both.sortWithinPartitions("centre", "block", "role").mapInArrow(block_links(percent), "a bigint, b bigint")
+    both = open_ones.select(*columns).unionByName(everyone.select(*columns)).repartition(common.parts(docs.sparkSession), "home", "block")
+    links = both.sortWithinPartitions("home", "block", "role").mapInArrow(block_links(percent), "a bigint, b bigint")
     links = common.materialise(links, "residual")
     common.drop_table(rows)
     return links
 
 
+def rekeyed(docs: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """docs with a key of its own, above all ids, in place of every null doc_id and of a doc_id that an earlier text
+    (by hash) has; and those rows' (key, doc_id). None if every doc_id stands for one set. sigs: signatures of docs."""
+    least = F.min(F.struct("fp1", "fp2"))
+    clash = sigs.groupBy("doc_id").agg(least.alias("f"), F.max(F.struct("fp1", "fp2")).alias("g")).where("doc_id is null or f <> g").select("doc_id")
+    if clash.isEmpty():
+        return None
+    clash = common.materialise(clash.withColumnRenamed("doc_id", "clashing"), "clashing")
+    same = F.col("doc_id").eqNullSafe(F.col("clashing"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = docs.join(clash, same, "left_semi")
+    first = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("clashing")).agg(F.min(text).alias("least_text"))
+    first = found.select("*", text.alias("text_hash")).join(first, same, "left").withColumn("first", F.coalesce(F.col("text_hash") == F.col("least_text"), F.lit(False)))
+    last = sigs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    # Written, since the keys must be the same whenever they are read.
+    key = F.when(F.col("first"), F.col("doc_id")).otherwise(F.monotonically_increasing_id() + F.lit(last + 1))
+    odd = common.materialise(first.select(*docs.columns, key.alias("key")), "rekeyed")
+    rest = docs.join(clash, same, "left_anti").withColumn("key", F.col("doc_id"))
+    rows = rest.unionByName(odd)
+    return rows.withColumn("doc_id", F.col("key")).drop("key"), odd.select("key", "doc_id")
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_limit: int = RARE_LIMIT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): set size, and the least doc_id that links reach."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, n_shingles, component_id): set size, and the least doc_id that links reach.
+
+    Rows with a null doc_id are documents of their own, as are different texts of one doc_id. component_id is null only
+    where links reach no other doc_id than null.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sigs = common.materialise(signatures(docs, width, percent), "shingles")
+    odd = rekeyed(docs, sigs)
+    if odd is None:
+        return key_components(docs, sigs, width, percent, rare_limit)
+    rows, keys = odd
+    common.drop_table(sigs)
+    sigs = common.materialise(signatures(rows, width, percent), "shingles")
+    found = common.materialise(key_components(rows, sigs, width, percent, rare_limit), "rekeyed-components")
+    found = found.withColumnRenamed("doc_id", "key")
+    # The least id behind the keys of a component; only rows with another key than their id can lower it.
+    moved = found.join(keys, "key").groupBy("component_id").agg(F.min("doc_id").alias("least_id"))
+    least_key = keys.where("doc_id is null or doc_id <> key").agg(F.min("key")).first()[0]
+    own = F.when(F.col("component_id") < F.lit(least_key), F.col("component_id"))
+    out = found.join(keys.distinct(), "key", "left").withColumn("doc_id", F.when(F.col("key") < F.lit(least_key), F.col("key")).otherwise(F.col("doc_id")))
+    return out.join(moved, "component_id", "left").select("doc_id", "n_shingles", F.least(own, F.col("least_id")).alias("component_id"))
+
+
+def key_components(docs: DataFrame, sigs: DataFrame, width: int, percent: int, rare_limit: int = RARE_LIMIT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents whose doc_id is never null and stands for one text. sigs, their
+    signatures, is a table of materialise() and deleted."""
     folded = common.materialise(sigs.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "folded")
     reps = sigs.join(folded, (F.col("doc_id") == F.col("rep")) & (sigs.fp1 == folded.fp1) & (sigs.fp2 == folded.fp2)).where(F.size("sketch") > 0)
     reps = common.materialise(reps.select("rep", "n", "sketch").dropDuplicates(["rep"]), "representatives")
@@ -358,11 +422,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, rare_
     crowded = groups.where(F.col("df") > rare_limit).groupBy("rep", "n").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= need)
     crowded = common.materialise(crowded.select(F.col("rep").alias("doc_id")), "crowded")
     columns = ["key", "rep", "n", "centre", "centre_n"]
-    keyed = grouped(combinations(full_sets(docs, crowded, width).dropDuplicates(["doc_id"]), percent))
+    sets = common.materialise(full_sets(docs, crowded, width).dropDuplicates(["doc_id"]), "crowded-sets")
+    keyed = grouped(combinations(sets, percent, rare_limit))
     few = groups.where(F.col("df") <= rare_limit).select(*columns, F.lit(False).alias("crowd"))
     rows = common.materialise(few.unionByName(keyed.select(*columns, F.lit(True).alias("crowd"))), "groups")
-    common.drop_table(groups)
-    common.drop_table(crowded)
+    for spent in (groups, crowded, sets):
+        common.drop_table(spent)
 
     stars = rows.where(F.col("rep") != F.col("centre")).where(_sizes_fit(F.col("n"), F.col("centre_n"), percent))
     checked = _checked(stars.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), docs, reps, width, percent)
@@ -394,31 +459,31 @@ def _checked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, per
     return out
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with a key of its own, above all ids, in place of every null doc_id; and the greatest id."""
-    last, rows, ids = docs.agg(F.max("doc_id"), F.count(F.lit(1)), F.count("doc_id")).first()
-    last = 0 if last is None else last
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    if rows == ids:
-        return docs, last
-    # Written, since the keys must be the same whenever they are read.
-    unkeyed = common.materialise(docs.where("doc_id is null").withColumn("doc_id", F.monotonically_increasing_id() + F.lit(last + 1)), "unkeyed")
-    return docs.where("doc_id is not null").unionByName(unkeyed), last
-
-
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs that are their group's least doc_id; all columns kept.
 
     A null doc_id counts as an id of its own above all others: such a row stays unless its group has a row that comes
-    before it. Of rows that repeat a doc_id and its text one stays; rows of one doc_id with different texts are not
-    told apart and stay or go together.
+    before it; so does any text of a doc_id but the first by hash. Of rows that repeat a doc_id and its text one stays.
+    Rows without words stay. An empty table gives an empty result.
     """
-    rows, last = keyed(docs)
-    groups = jaccard_components(rows, width, percent)
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    sigs = common.materialise(signatures(plain, width, percent), "shingles")
+    kind, names = docs.schema["doc_id"].dataType, docs.columns
+    odd = rekeyed(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), sigs)
+    rows, keys = odd or (docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), None)
+    if odd:
+        common.drop_table(sigs)
+        sigs = common.materialise(signatures(rows, width, percent), "shingles")
+    groups = key_components(rows.select("doc_id", "text"), sigs, width, percent)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
     kept = common.materialise(kept, "kept")
     out = rows.join(kept.select("doc_id"), "doc_id", "left_semi")
     repeated = kept.where("times > 1").select("doc_id")
     if not repeated.isEmpty():
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return out.withColumn("doc_id", F.when(F.col("doc_id") <= F.lit(last), F.col("doc_id")).cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if keys is None:
+        return out.select(*names).withColumn("doc_id", F.col("doc_id").cast(kind))
+    back = keys.where("doc_id is null or doc_id <> key").select(F.col("key").alias("moved_key"), F.col("doc_id").alias("moved_id"))
+    out = out.join(back, F.col("doc_id") == F.col("moved_key"), "left")
+    doc_id = F.when(F.col("moved_key").isNull(), F.col("doc_id")).otherwise(F.col("moved_id")).cast(kind)
+    return out.select(*[doc_id.alias("doc_id") if c == "doc_id" else F.col(c) for c in names])

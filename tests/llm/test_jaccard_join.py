@@ -68,15 +68,24 @@ def test_keep_one_and_empty_table(spark):
 
 
 def test_linked_sets_share_a_combination():
+    """Whatever the tokens' frequencies, own tokens first, two linked sets have a key in common."""
     rng = np.random.default_rng(5)
-    for _ in range(300):
-        n, percent = int(rng.integers(7, 400)), int(rng.choice([80, 85, 90]))
-        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        most = 100 * len(base) // percent - len(base)
-        extra = rng.integers(0, 1 << 63, int(rng.integers(0, most + 1)), dtype=np.uint64)
-        other = np.unique(np.concatenate((base, extra)))
-        if 100 * len(base) >= percent * len(other):
-            assert np.intersect1d(j.combination_keys(base, percent), j.combination_keys(other, percent)).size
+    linked = 0
+    for _ in range(600):
+        n, percent, rare = int(rng.integers(1, 400)), int(rng.choice([80, 85, 90])), int(rng.choice([1, 24]))
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        drop = rng.integers(0, 1 + (100 - percent) * n // 100)
+        sets = [base[int(drop) :], np.concatenate((base, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + (100 - percent) * n // 100)), dtype=np.uint64)))]
+        df = {int(t): int(rng.choice([2, 30, 4000])) for t in base}
+        keys = []
+        for s in sets:
+            shared = np.array(sorted((df[int(t)], int(t)) for t in s if int(t) in df), dtype=object).reshape(-1, 2)
+            keys.append(j.combination_keys(shared[:, 1].astype(np.uint64), shared[:, 0].astype(np.int64), len(s), percent, rare))
+        both = np.intersect1d(*sets).size
+        if 100 * both >= percent * np.union1d(*sets).size:
+            linked += 1
+            assert np.intersect1d(*keys).size
+    assert linked > 200
 
 
 def test_components_of_a_chain(spark):
@@ -97,7 +106,7 @@ def test_block_links_in_parts(monkeypatch, postings, stream):
     types = [("role", pa.int32()), ("rep", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("m", pa.int64()), ("d", pa.list_(pa.int64()))]
     arrays = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=True)]
     zero = pa.array([0] * len(rows), pa.int64())
-    batch = pa.RecordBatch.from_arrays([zero, zero, *arrays], names=["centre", "block", *[t[0] for t in types]])
+    batch = pa.RecordBatch.from_arrays([zero, zero, *arrays], names=["home", "block", *[t[0] for t in types]])
     got = {(a, b) for out in j.block_links(percent)(iter([batch.slice(0, 11), batch.slice(11)])) for a, b in zip(*out.to_pydict().values(), strict=True)}
     linked = lambda s, t: 100 * len(s & t) >= percent * len(s | t)
     want = {(i + 1, k + 1) for i, s in enumerate(sets) for k, t in enumerate(sets) if i < k and (i % 2 or k % 2) and linked(s, t)}
@@ -112,3 +121,30 @@ def test_keep_one_with_null_ids_and_repeated_rows(spark):
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == sorted([(None, a, "x"), (None, b, "x"), (3, c, "x"), (5, "alone", "x"), (None, "", "x"), (7, None, "x")], key=str)
     assert out.schema == df.schema
+
+
+def test_different_texts_of_one_id_are_different_documents(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = lambda t: t.replace("30 ", "30 new ")
+    rows = [(1, a), (2, near(a)), (2, b), (2, b), (9, near(b)), (None, c), (None, near(c)), (4, near(c) + " end"), (None, "alone with a null id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.component_id) for r in j.jaccard_components(df, 4, 80).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (2, 2), (2, 2), (9, 2), (None, 4), (None, 4), (4, 4), (None, None)], key=str)
+    left = sorted(map(tuple, j.keep_one(df, 4, 80).collect()), key=str)
+    assert (1, a) in left and (4, near(c) + " end") in left and (None, "alone with a null id") in left and len(left) == 4
+    assert [i for i, t in left if t in (b, near(b))] in ([2], [9])
+
+
+def test_a_thousand_near_copies(spark):
+    """One cluster whose members differ in a few words each, many just below the threshold."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(1000):
+        t = list(base)
+        for at in rng.choice(90, int(rng.integers(0, 6)), replace=False):
+            t[at] = f"x{rng.integers(0, 40)}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = sorted(map(tuple, j.jaccard_components(df, 5, 80).collect()))
+    assert got == brute(rows, 5, 80)
