@@ -6,7 +6,6 @@ with random byte values. The same arrays serve every operator, so a word or shin
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -20,24 +19,32 @@ U64 = np.uint64
 PIECE_BYTES = 2 << 20
 
 
+#: With it, Spark deletes a query's shuffle files when the query ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own is set only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session, as in tests, gets one of its own;
+    a cluster's machines would not see it, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="keystrata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and reread: cuts lineage, survives lost executors.
-
-    A collection on the driver afterwards lets Spark's cleaner delete the shuffle files of the finished query.
-    """
+    """df written as Parquet in the shared folder and reread: cuts lineage, survives lost executors. The query's shuffle
+    files are deleted at its end."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
