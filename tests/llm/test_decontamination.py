@@ -65,3 +65,50 @@ def test_runs_bridge_unmatched_tokens():
     pair = lambda p, a, b: (p, 0, [a] + [""] * 7, [b] + [""] * 7)
     assert d.placement_tokens([pair(0, "x", "y"), pair(8, "x", "z")], 40) == 0
     assert d.placement_tokens([pair(8 * i, "x", "y" if i else "z") for i in range(6)], 60) == 47
+
+
+def test_names_do_not_depend_on_their_place(spark):
+    item = "Alice has three apples and gives two of them to her brother."
+    docs = [(1, "Here it is. " + item), (2, "so " + item), (3, PROSE + " so Bob" + item[5:]), (4, "Then Mary Jane Smith" + item[5:]), (5, "Bob has three apples.")]
+    assert {k for k, v in flags(spark, docs, [(1, item)])[0].items() if v[0]} == {1, 2, 3, 4}
+
+
+def test_short_and_numeric_items(spark):
+    items = [(1, "What is 12 times 15 plus 7 ?"), (2, "Add 12, 15, 17, 20, 22, 31, 44, 58, 61, 70 and 81 now."), (3, "Yes it is"), (4, "7 8 9 10 11 12")]
+    docs = [(1, PROSE + " What is 12 times 15 plus 7? " + PROSE), (2, PROSE + " what is 3 times 4 plus 9"), (3, PROSE + " what is 3 times 4 minus 9"), (4, PROSE + " " + items[1][1]), (5, "yes it is"), (6, PROSE + " yes it is " + PROSE)]
+    docs += [(7, "1 7 8 9 10 11 12 13"), (8, "7 8 9 10 11 13")]
+    got = flags(spark, docs, items)[0]
+    assert {k: v[2] for k, v in got.items() if v[0]} == {1: [1], 2: [1], 4: [2], 5: [3], 7: [4]}
+
+
+def test_null_and_repeated_ids_are_judged_by_their_own_text(spark):
+    rows = [(None, ITEM), (None, PROSE), (1, ITEM), (1, PROSE), (1, ITEM)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, ITEM), (7, SWAP), (None, ITEM)], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.contaminated) for r in d.contamination(docs, bench).collect())
+    assert got == [("1", False), ("1", True), ("1", True), ("None", False), ("None", True)]
+    assert sorted(map(str, (r.doc_id for r in d.clean_documents(docs, bench).collect()))) == ["1", "None"]
+
+
+def test_exchanged_items_of_the_tables_are_found(spark):
+    """Every item with its names (words that begin a sentence) and a number changed, put in the middle of a document."""
+    import random
+
+    rng = random.Random(4)
+    sf = "/root/testdata/sf0.01"
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    names = ["Alva", "Birk", "Cleo", "Dara"]
+    rows = []
+    for (i, t), around in zip(items, texts, strict=True):
+        begins, name = [w for k, w in enumerate(t.split()) if k == 0 or t.split()[k - 1][-1] in ".!?"], {}
+        for w in begins:
+            name.setdefault(w, names[len(name) % 4] + str.lower("x" * (len(name) // 4)))
+        swapped = " ".join(name.get(w, w) for w in t.split())
+        words = around.split()
+        cut = rng.randrange(len(words) + 1)
+        rows.append((i, " ".join(words[:cut]) + ". " + swapped + " " + " ".join(words[cut:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in d.leaks(docs, bench).collect()}
+    assert sum((i, i) in found for i, _ in items) == len(items)
