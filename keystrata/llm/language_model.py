@@ -10,15 +10,19 @@ is a distribution for any count table. Both softmaxes are log-linear in hashed f
 before, and words skipped to at distances two and three (classes); the first and third of these (words). Weights start
 at the unigram model.
 
-Training is one pass over all training documents in ROUNDS disjoint shards: every task runs sparse Adagrad steps over
-its documents in minibatches from the round's weights, the tasks' changes are averaged by tokens, block by block, and
-become the next round's weights. The model's size is fixed by parameters.
+Training is one pass over all training documents in ROUNDS disjoint parts. A part is dealt by a hash of id and text into
+shards of about SHARD_TOKENS tokens, so their number follows the corpus and neither files nor tasks have a say. From the
+round's weights each shard runs sparse Adagrad steps over minibatches of its documents in the order of that hash; the
+shards' changes are averaged by tokens, block by block, and become the next round's weights. A shard learns as much
+whatever the corpus's size, so the gain does not fade as shards multiply. The model's size is fixed by parameters.
 
 Counts of frequent words travel in a broadcast table of at most HEAD_WORDS rows; documents carry the hashes of all
 other words, which are joined with the count table, so that every count is exact at any vocabulary size.
 
-Null and empty texts consist of their end. Rows that repeat a doc_id are separate rows of equal result; extra columns
-are ignored; an empty table gives an empty result. With no training documents all counts are 0.
+Null and empty texts consist of their end; a null doc_id is held out or not by the empty text's checksum. Rows that
+repeat a doc_id are separate rows, each scored by its own text. Words of equal count rank by hash. Texts of any length
+are read whole. Extra columns are ignored, whatever their names; an empty table gives an empty result. With no training
+documents all counts are 0.
 """
 
 from __future__ import annotations
@@ -43,6 +47,9 @@ CONTEXT_BUCKETS = 4096
 ROUNDS = 2
 RATE = 0.06
 MINIBATCH = 8192
+#: Tokens a shard trains on, and the most shards of a round: beyond that shards grow.
+SHARD_TOKENS = 1_000_000
+MOST_SHARDS = 4096
 BLOCKS = 16
 END = U64(0xE0D0E0D0E0D0E0D1)
 START = FREQUENT + CONTEXT_BUCKETS
@@ -266,34 +273,72 @@ class Maxent:
             table[used] -= total
 
 
+def shard_count(n: int, rounds: int) -> int:
+    """Shards of a round over n training tokens."""
+    return min(MOST_SHARDS, max(1, round(n / rounds / SHARD_TOKENS)))
+
+
+def training_tokens(docs: DataFrame, shared, rounds: int, shards: int) -> DataFrame:
+    """(round, shard, place, ids): the training documents' model ids, two bytes each, and where they belong."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value[0]
+        for piece in common.pieces(batches):
+            hashes, cuts = tokens(piece)
+            some, back = np.unique(hashes, return_inverse=True)
+            ids = token_ids(some, vocabulary.look_up(some)[0]).astype(np.uint16)[back]
+            raw = ids.tobytes()
+            texts = [raw[2 * a : 2 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("round", "shard", "place")), pa.array(texts, pa.binary())], names=["round", "shard", "place", "ids"])
+
+    dealt = docs.where(common.crc_mod(F.col("doc_id"), FOLDS) != HELD).select("text", F.xxhash64("doc_id", "text").alias("place"))
+    dealt = dealt.select("text", "place", F.pmod("place", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int").alias("shard"))
+    return dealt.mapInArrow(run, "round int, shard int, place bigint, ids binary")
+
+
 def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after one pass over all training documents in ``rounds`` shards of averaged local steps."""
+    """Weights after one pass over all training documents in ``rounds`` parts of averaged local steps."""
     spark = docs.sparkSession
     weights = Maxent(vocabulary).flat()
-    # Every task sends back one copy of the model: few, large tasks.
-    size = -(-len(weights) // BLOCKS)
+    shards, size = shard_count(vocabulary.n, rounds), -(-len(weights) // BLOCKS)
+    shared = spark.sparkContext.broadcast((vocabulary, weights))
+    table = common.materialise(training_tokens(docs, shared, rounds, shards), "training-tokens")
     for number in range(rounds):
-        shared = spark.sparkContext.broadcast((vocabulary, weights))
+        if number:
+            shared = spark.sparkContext.broadcast((vocabulary, weights))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, start = shared.value
-            model, seen = Maxent(vocabulary), 0
-            model.load(start)
-            sums = [np.zeros_like(model.class_table), np.zeros_like(model.word_table)]
-            for piece in common.pieces(batches):
-                piece = piece.filter(pa.array(~held_out(piece.column("doc_id").to_pylist())))
-                if not piece.num_rows:
-                    continue
-                hashes, cuts = tokens(piece)
-                some, back = np.unique(hashes, return_inverse=True)
-                ids = token_ids(some, vocabulary.look_up(some)[0])[back]
-                model.train(ids, cuts, sums)
-                seen += len(ids)
-            if seen:
+            model, seen, shard, sums, held = None, 0, None, [], []
+
+            def learn():
+                nonlocal held, seen
+                model.train(np.concatenate(held).astype(np.int64), np.concatenate(([0], np.cumsum([len(x) for x in held]))), sums)
+                seen, held = seen + sum(map(len, held)), []
+
+            def finished() -> Iterator[pa.RecordBatch]:
+                learn()
                 change = model.flat() - start
                 for b in range(BLOCKS):
                     data = zlib.compress(change[b * size : (b + 1) * size].astype(np.float16).tobytes(), 1)
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "n": pa.array([seen], pa.int64()), "change": pa.array([data], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([seen], pa.int64()), "change": pa.array([data], pa.binary())})
+
+            for batch in batches:
+                for now, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                    if now != shard:
+                        if held:
+                            yield from finished()
+                        model, seen, shard = Maxent(vocabulary), 0, now
+                        model.load(start)
+                        sums = [np.zeros_like(model.class_table), np.zeros_like(model.word_table)]
+                        held_tokens = 0
+                    elif held_tokens >= 64 * MINIBATCH:
+                        learn()
+                        held_tokens = 0
+                    held.append(np.frombuffer(ids, np.uint16))
+                    held_tokens += len(held[-1])
+            if held:
+                yield from finished()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, list] = {}
@@ -306,12 +351,13 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.nda
             for b, (n, change) in total.items():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "change": pa.array([(change / n).astype(np.float32).tobytes()], pa.binary())})
 
-        shard = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(rounds)) == number)
-        changes = shard.mapInArrow(run, "block int, n bigint, change binary").repartition(BLOCKS, "block")
+        part = table.where(F.col("round") == number).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
+        changes = part.mapInArrow(run, "block int, shard int, n bigint, change binary").repartition(BLOCKS, "block").sortWithinPartitions("block", "shard")
         weights = weights.copy()
         for r in changes.mapInArrow(average, "block int, change binary").collect():  # one model
             weights[r.block * size : (r.block + 1) * size] += np.frombuffer(r.change, np.float32)
         shared.unpersist()
+    common.drop_table(table)
     return weights
 
 
@@ -358,22 +404,26 @@ def score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) ->
 
 
 def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of at most HEAD_WORDS words in descending order: all words of the count bins that fit whole.
+    """Hashes and counts of the HEAD_WORDS most frequent words (all, if there are fewer) in descending order, words of
+    equal count by hash.
 
-    Bins are single counts below 4096 and sixteenths of powers of two above, so the histogram has a fixed size and no
-    task sorts the whole table.
+    Counts are binned: single counts below 4096 and sixteenths of powers of two above, so the histogram has a fixed size
+    and no task sorts the whole table. Of the bin that does not fit whole, the room left is filled.
     """
     c = F.col("c")
     place = F.when(c < 4096, c).otherwise(F.lit(4096) + F.floor(F.log2(c.cast("double")) * 16)).cast("int")
     bins = counts.groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
-    total, least = 0, None
+    total, least, next_bin = 0, 1 << 30, None
     for b in sorted(bins, key=lambda r: -r.b):
         if total + b.n > HEAD_WORDS:
+            next_bin = b.b
             break
         total, least = total + b.n, b.b
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    head = counts.where(place >= least).toArrow()
+    order = [c.desc(), F.shiftrightunsigned("h", 1), "h"]
+    parts = [counts.where(place >= least).toArrow()]
+    if next_bin is not None and total < HEAD_WORDS:
+        parts.append(counts.where(place == next_bin).orderBy(*order).limit(HEAD_WORDS - total).toArrow())
+    head = pa.concat_tables(parts)
     hashes, number = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.lexsort((hashes, -number))
     return hashes[order], number[order]
@@ -384,6 +434,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = common.materialise(word_counts(docs), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     vocabulary = Vocabulary(*frequent_words(counts), n, v)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     weights = fit(docs, vocabulary, rounds)
     rows = common.materialise(score_rows(docs, vocabulary, weights), "scored")
     words = rows.select("row_id", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row_id", F.col("t.tail").alias("h"), F.col("t.tail_n").alias("k"))
