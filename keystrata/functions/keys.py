@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def c_atoi(field: Column) -> Column:
-    """C's ``atoi`` as a long: leading blanks, an optional sign, digits; anything else is 0. Null stays null."""
+    """C's ``atoi`` as a long: leading blanks, an optional sign, digits; anything else is 0. Null stays null.
+
+    Numbers beyond 32 bits are kept, never wrapped; beyond 64 bits they give 0.
+    """
     digits = F.regexp_extract(field, r"^[ \t\n\r\f\x0B]*([+-]?[0-9]+)", 1)
     parsed = F.coalesce(F.nullif(digits, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
     return F.when(field.isNotNull(), parsed)

@@ -16,7 +16,7 @@ HINTS = {
     "sort_merge": "merge",
     "parallel_sort_merge": "merge",
     "grace_hash": "shuffle_hash",
-    "hybrid_hash": "shuffle_hash",
+    "hybrid_hash": None,
     "block_nested_loop": None,
     "shared_scan": None,
     "auto": None,
@@ -47,15 +47,16 @@ def equi_join(
 ) -> DataFrame:
     """left joined with right where the keys are equal; columns of left, then of right. Key names must differ.
 
-    ``block_nested_loop`` and ``shared_scan`` build a hash table of the right side and share it with every task
-    scanning the left one, if the right side is small enough; otherwise both sides are dealt by hash.
-    ``parallel_sort_merge`` first deals both sides by key into ``partitions`` parts, so that one exchange a side
-    serves the sort, the join and whatever follows on the same key.
+    ``block_nested_loop``, ``shared_scan`` and ``hybrid_hash`` build a hash table of the right side and share it with
+    every task scanning the left one, if the right side is small enough; otherwise both sides are dealt by hash, as
+    ``grace_hash`` does in any case. ``parallel_sort_merge`` first deals both sides by key into ``partitions`` parts, so
+    that one exchange a side serves the sort, the join and whatever follows on the same key; without ``partitions`` its
+    plan is that of ``sort_merge``, which Spark runs in parallel anyway.
     """
     if algorithm not in HINTS:
         raise ValueError(f"unknown algorithm {algorithm!r}; one of {sorted(HINTS)}")
     on = left[left_key] == right[right_key]
-    if algorithm in ("block_nested_loop", "shared_scan"):
+    if algorithm in ("block_nested_loop", "shared_scan", "hybrid_hash"):
         return left.join(small_side(right), on, how)
     if algorithm == "parallel_sort_merge" and partitions:
         left, right = left.repartition(partitions, left_key), right.repartition(partitions, right_key)
@@ -89,6 +90,6 @@ def join_cardinality(left: DataFrame, right: DataFrame, left_key: str, right_key
 def lookup_first(rows: DataFrame, dim: DataFrame, key: str, dim_key: str, order: list[str], keep: list[str]) -> DataFrame:
     """rows with the columns ``keep`` of the first matching dim row in the given order; null where none matches."""
     first = F.min_by(F.struct(*keep), F.struct(*order))
-    one = dim.groupBy(F.col(dim_key).alias("_dim_key")).agg(first.alias("_first"))
-    joined = rows.join(small_side(one), rows[key] == one["_dim_key"], "left")
-    return joined.select(*rows.columns, *[F.col(f"_first.{c}").alias(c) for c in keep])
+    one = dim.groupBy(F.col(dim_key).alias("dim_key")).agg(first.alias("first_match"))
+    joined = rows.join(small_side(one), rows[key] == one["dim_key"], "left")
+    return joined.select(*[rows[c] for c in rows.columns], *[one["first_match"][c].alias(c) for c in keep])

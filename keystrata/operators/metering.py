@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import clamp_or_zero
 from ..functions.units import COUNTER_RANGE
+from .sorting import fresh
 
 
 def lag_delta(value: str, by: list[str], order: list[str]) -> Column:
@@ -49,7 +50,8 @@ def duty_cycle(power: Column, cap: float, time_base_ms: int = 100) -> dict[str,
     """Over, supply, ratio, sleep and execute milliseconds of a controller that holds power at a cap.
 
     Above the cap it sleeps for the relative excess (0.75 when that exceeds the cap itself); below, it executes for
-    the relative headroom. Times are truncated.
+    the relative headroom. Times are truncated. It only acts on times between 1 ms and the base: ``suspends`` and
+    ``executes`` say whether it does.
     """
     if not 25 <= time_base_ms <= 100:
         raise ValueError("the time base lies between 25 and 100 ms")
@@ -59,12 +61,16 @@ def duty_cycle(power: Column, cap: float, time_base_ms: int = 100) -> dict[str,
     ratio = F.when(above, F.when(over > F.lit(cap), F.lit(0.75)).otherwise(over / power)).otherwise(supply / F.lit(cap))
     part = F.floor(ratio * F.lit(float(time_base_ms))).cast("bigint")
     rest = F.lit(time_base_ms).cast("bigint") - part
+    sleep, execute = F.when(above, part).otherwise(rest), F.when(above, rest).otherwise(part)
+    acts = lambda t: t.between(1, time_base_ms)
     return {
         "power_over": over,
         "power_supply": supply,
         "ratio": ratio,
-        "time_sleep": F.when(above, part).otherwise(rest),
-        "time_execute": F.when(above, rest).otherwise(part),
+        "time_sleep": sleep,
+        "time_execute": execute,
+        "suspends": acts(sleep),
+        "executes": acts(execute),
     }
 
 
@@ -72,8 +78,8 @@ def downsample_last(df: DataFrame, by: list[str], ts: str, tiebreak: str, unit:
     """Last sample per series and time bucket (``unit`` as date_trunc takes it): by columns, bucket, then all columns."""
     bucket = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
     rest = [c for c in df.columns if c not in by]
-    last = F.max_by(F.struct(*rest), F.struct(ts, tiebreak))
-    return df.groupBy(*by, bucket.alias("bucket")).agg(last.alias("_last")).select(*by, "bucket", *[F.col(f"_last.{c}").alias(c) for c in rest])
+    last, name = F.max_by(F.struct(*rest), F.struct(ts, tiebreak)), fresh(df, "_last")
+    return df.groupBy(*by, bucket.alias("bucket")).agg(last.alias(name)).select(*by, "bucket", *[F.col(f"{name}.{c}").alias(c) for c in rest])
 
 
 def running_total(value: str, by: list[str], order: list[str]) -> Column:
@@ -82,8 +88,8 @@ def running_total(value: str, by: list[str], order: list[str]) -> Column:
 
 def min_gap_samples(df: DataFrame, by: list[str], ts: str, order: list[str], gap_ms: int = 250) -> DataFrame:
     """Samples at least ``gap_ms`` after the one before; the first of a series stays."""
-    gap = elapsed_micros(ts, by, order)
-    return df.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= gap_ms * 1000)).drop("_gap")
+    gap = fresh(df, "_gap")
+    return df.withColumn(gap, elapsed_micros(ts, by, order)).where(F.col(gap).isNull() | (F.col(gap) >= gap_ms * 1000)).drop(gap)
 
 
 def disk_averages(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -109,5 +115,18 @@ def frequency_ratio(df: DataFrame, by: list[str], order: list[str]) -> DataFrame
 
 def explode_states(df: DataFrame, states: str = "states") -> DataFrame:
     """One row per element of an array of state structs."""
-    rest = [c for c in df.columns if c != states]
-    return df.select(*rest, F.posexplode(states).alias("state_no", "_s")).select(*rest, "state_no", "_s.*")
+    rest, state = [c for c in df.columns if c != states], fresh(df, "_state")
+    return df.select(*rest, F.posexplode(states).alias("state_no", state)).select(*rest, "state_no", f"{state}.*")
+
+
+def space(df: DataFrame, total: str, free: str) -> DataFrame:
+    """Whole mebibytes of a disk's or a machine's byte counters: columns total_mb, free_mb, used_mb added."""
+    mb = lambda x: F.floor(x / F.lit(1048576)).cast("bigint")
+    return df.select("*", mb(F.col(total)).alias("total_mb"), mb(F.col(free)).alias("free_mb"), mb(F.col(total) - F.col(free)).alias("used_mb"))
+
+
+def tsc_mhz(first: Column, second: Column, micros: Column) -> Column:
+    """Whole cycles a microsecond between two readings; a second reading below the first has passed 2^32 - 1 once.
+    Null where no time has passed."""
+    cycles = F.when(second < first, F.lit(COUNTER_RANGE - 1).cast("bigint") - first + second).otherwise(second - first)
+    return F.floor(F.try_divide(cycles.cast("double"), micros.cast("double")))

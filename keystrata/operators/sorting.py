@@ -1,8 +1,9 @@
 """External sorts, sorted runs and their key ranges.
 
-A run is ``rows_per_run`` consecutive rows in key order. Run numbers come from a distributed ranking: rows are
-range-dealt, each part's size is counted, and a row's rank is its place in the part plus the sizes of earlier parts.
-No stage holds more than one range part, unlike a window without PARTITION BY.
+A run is ``rows_per_run`` consecutive rows in key order. Run numbers come from a distributed ranking: rows are dealt by
+range and sorted, a row's place in its partition is written with it, and its rank is that place plus the sizes of the
+partitions before. Bounds are sampled by row and rows of equal keys are told apart by their place in the input, so a hot
+key is cut like any other; no stage holds more than one range.
 """
 
 from __future__ import annotations
@@ -10,6 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import staged
+
+#: monotonically_increasing_id() holds the partition above so many bits, the row's place below.
+PLACE_BITS = 33
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def external_sort(df: DataFrame, keys: list[str]) -> DataFrame:
     """Total order over all partitions: range exchange, then a spilling local sort."""
@@ -21,36 +35,43 @@ def sort_runs(df: DataFrame, keys: list[str], runs: int) -> DataFrame:
     return df.repartitionByRange(runs, *keys).sortWithinPartitions(*keys)
 
 
-def range_bounds(df: DataFrame, keys: list[str], parts: int, per_part: int = 64) -> list:
-    """parts - 1 ascending key tuples that cut df about evenly, from rows chosen by a hash of the keys.
+def range_bounds(df: DataFrame, key: str, parts: int, accuracy: int = 10_000) -> list:
+    """At most parts - 1 ascending, different values of a numeric key that cut df about evenly by rows.
 
-    About parts * per_part rows reach the driver. The choice depends on the keys alone, so a retried or re-planned
-    stage sees the same bounds; all keys take part, so one hot first key is cut by the ones after it.
+    One aggregate of mergeable sketches: parts - 1 values reach the driver, whatever df's size and however often a
+    value repeats.
     """
-    every = max(1, df.count() // (parts * per_part))
-    chosen = df.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(every)) == 0)
-    rows = chosen.orderBy(*keys).collect()
-    return [rows[len(rows) * i // parts] for i in range(1, parts)] if rows else []
+    shares = [i / parts for i in range(1, parts)]
+    found = df.agg(F.percentile_approx(key, shares, accuracy)).first()[0] if shares else None
+    return sorted(set(found or []))
+
+
+def range_part(key: Column, bounds: list) -> Column:
+    """Number of bounds below or at a row's key, by halving; null keys lie before all ranges."""
 
+    def find(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key >= F.lit(bounds[mid]), find(mid + 1, high)).otherwise(find(low, mid))
 
-def range_part(df: DataFrame, keys: list[str], bounds: list) -> Column:
-    """Number of bounds below a row's keys."""
-    if not bounds:
-        return F.lit(0)
-    kinds = dict(df.dtypes)
-    below = F.array(*[F.struct(*[F.lit(b[k]).cast(kinds[k]).alias(k) for k in keys]) for b in bounds])
-    return F.size(F.filter(below, lambda b: b < F.struct(*keys)))
+    return find(0, len(bounds))
 
 
 def with_rank(df: DataFrame, keys: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
-    """df with its 1-based position in the total order of keys (which must be unique for a deterministic result)."""
+    """df with its 1-based position in the total order of keys; rows of equal keys follow the input's order.
+
+    The sorted rows are written to the shared folder once, since places must be the same whenever they are read.
+    """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_part", range_part(df, keys, range_bounds(df, keys, n)))
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)).cast("bigint")
-    ranked = dealt.withColumn("_place", place).join(F.broadcast(before), "_part")  # one row a part
-    return ranked.withColumn(name, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
+    tie, place, size, before, part = (fresh(df, x) for x in ("_tie", "_place", "_size", "_before", "_part"))
+    dealt = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(n, *keys, tie).sortWithinPartitions(*keys, tie)
+    rows = staged(dealt.drop(tie).withColumn(place, F.monotonically_increasing_id()), "ranked")
+    rows = rows.withColumn(part, F.shiftright(place, PLACE_BITS)).withColumn(place, F.col(place).bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias(size))
+    starts = sizes.select(part, (F.sum(size).over(Window.orderBy(part)) - F.col(size)).alias(before))  # one row a partition
+    ranked = rows.join(F.broadcast(starts), part)
+    return ranked.withColumn(name, F.col(place) + F.col(before) + F.lit(1)).drop(part, place, before)
 
 
 def make_runs(df: DataFrame, keys: list[str], rows_per_run: int) -> DataFrame:
@@ -64,13 +85,26 @@ def run_stats(runs: DataFrame, key: str) -> DataFrame:
     return runs.groupBy("run").agg(F.min(key).alias("lowest_key"), F.max(key).alias("highest_key"), F.count(F.lit(1)).alias("n"))
 
 
+def sorted_descriptors(stats: DataFrame) -> DataFrame:
+    """A zone map in the order of its lowest keys, runs of equal ones by number."""
+    return stats.orderBy("lowest_key", "run")
+
+
 def top_k(df: DataFrame, keys: list, k: int) -> DataFrame:
     return df.orderBy(*keys).limit(k)
 
 
 def merge_passes(n_runs: int, fan_in: int) -> int:
     """Passes a fan-in bounded merge would need for so many runs."""
+    if fan_in < 2:
+        raise ValueError("a merge takes two runs at least")
     passes = 0
     while n_runs > 1:
         n_runs, passes = -(-n_runs // fan_in), passes + 1
     return passes
+
+
+def merge_report(df: DataFrame, rows_per_run: int, fan_ins: list[int]) -> DataFrame:
+    """(fan_in, n_runs, passes) of sorting df in runs of so many rows."""
+    runs = -(-df.count() // rows_per_run)
+    return df.sparkSession.createDataFrame([(f, runs, merge_passes(runs, f)) for f in fan_ins], "fan_in bigint, n_runs bigint, passes bigint")

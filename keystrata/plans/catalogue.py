@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bits, keys, units
+from ..functions import bits, keys, text, units
 from ..operators import joins, metering, pruning, sorting
 from ..sources import relations
+from ..sources.shared import shared_folder, staged
+from . import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,14 +97,10 @@ def psmj_plan2_shared(spark, sf_dir):
 
 @register("psmj_plan3_range", ORDERS_LINEITEM)
 def psmj_plan3_range(spark, sf_dir):
-    """Both sides cut by the same key bounds, joined on (range, key): the ranges are the join's partitions."""
+    """Both sides cut by the same key bounds, joined on (range, key)."""
     o, l = _t(spark, sf_dir, "orders", "lineitem")
-    bounds = sorting.range_bounds(o, ["o_orderkey"], 8)
-    renamed = [{"l_orderkey": b["o_orderkey"]} for b in bounds]
-    r = o.withColumn("r_range", sorting.range_part(o, ["o_orderkey"], bounds))
-    s = l.withColumn("s_range", sorting.range_part(l, ["l_orderkey"], renamed))
-    on = (r["r_range"] == s["s_range"]) & (r["o_orderkey"] == s["l_orderkey"])
-    return r.join(s.hint("merge"), on).select(*ORDERS_LINEITEM_COLUMNS)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pruning.range_joined(o, l, "o_orderkey", "l_orderkey", n).select(*ORDERS_LINEITEM_COLUMNS)
 
 
 @register("psmjrp_join_by_range", "SELECT o_orderkey // 1000 AS key_range, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
@@ -220,11 +216,28 @@ def run_skip_counts(spark, sf_dir):
     return pruning.pair_counts(*_stats(spark, sf_dir))
 
 
-@register("range_pruned_join", "SELECT l_orderkey, l_linenumber, l_suppkey, c_custkey FROM lineitem JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 20 AND 80) ON l_suppkey = c_custkey")
+@register("range_pruned_join", "SELECT l_orderkey, l_linenumber, l_suppkey, c_custkey FROM lineitem JOIN customer ON l_suppkey = c_custkey")
 def range_pruned_join(spark, sf_dir):
     l, c = _t(spark, sf_dir, "lineitem", "customer")
-    small = c.where(F.col("c_custkey").between(20, 80))
-    return pruning.range_pruned_join(l, small, "l_suppkey", "c_custkey").select("l_orderkey", "l_linenumber", "l_suppkey", "c_custkey")
+    return pruning.range_pruned_join(l, c, "l_suppkey", "c_custkey").select("l_orderkey", "l_linenumber", "l_suppkey", "c_custkey")
+
+
+@register(
+    "run_descriptors_sorted",
+    f"SELECT run, min(k) AS lowest_key, max(k) AS highest_key, count(*) AS n FROM ({RUNS_SQL.format(key='o_custkey', order='o_custkey, o_orderkey', table='orders')}) GROUP BY run ORDER BY lowest_key, run",
+)
+def run_descriptors_sorted(spark, sf_dir):
+    return sorting.sorted_descriptors(run_stats(spark, sf_dir))
+
+
+@register(
+    "merge_pass_counts",
+    """WITH RECURSIVE f AS (SELECT unnest([2, 3, 8, 16, 64])::BIGINT AS fan_in, ceil((SELECT count(*) FROM lineitem) / 1000)::BIGINT AS n_runs),
+    p AS (SELECT fan_in, n_runs, n_runs AS now, 0::BIGINT AS passes FROM f UNION ALL SELECT fan_in, n_runs, (now + fan_in - 1) // fan_in, passes + 1 FROM p WHERE now > 1)
+    SELECT fan_in, n_runs, max(passes) AS passes FROM p GROUP BY fan_in, n_runs""",
+)
+def merge_pass_counts(spark, sf_dir):
+    return sorting.merge_report(relations.table(spark, sf_dir, "lineitem"), 1000, [2, 3, 8, 16, 64])
 
 
 # Sources ---------------------------------------------------------------------------------------------------------
@@ -248,6 +261,36 @@ def atoi_keys(spark, sf_dir):
     return p.select("p_partkey", F.col("p_name").alias("field"), keys.c_atoi(F.col("p_name")).alias("from_name"), keys.c_atoi(dressed).alias("from_size"))
 
 
+TEXT_RELATIONS = ["o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|'", "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|'"]
+
+
+@register("text_load", f"SELECT {TEXT_RELATIONS[0]} AS value, o_custkey AS key FROM orders")
+def text_load(spark, sf_dir):
+    """A delimited file is written, read line by line, keyed by its second field, and loaded as a sorted relation."""
+    lines, loaded = shared_folder(spark, "lines"), shared_folder(spark, "relation")
+    relations.write_delimited(relations.table(spark, sf_dir, "orders"), lines, ["o_orderkey", "o_custkey", "o_orderstatus"])
+    relations.write_relation(relations.read_delimited(spark, lines, key_pos=2), loaded, "key")
+    return spark.read.parquet(loaded)
+
+
+@register("text_join_output", f"SELECT o_orderkey AS key, ({TEXT_RELATIONS[0]}) || ({TEXT_RELATIONS[1]}) AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def text_join_output(spark, sf_dir):
+    """Two delimited files joined on their first fields; every task writes its share of the output, which is read back."""
+    paths = [shared_folder(spark, x) for x in ("r", "s", "joined")]
+    o, l = _t(spark, sf_dir, "orders", "lineitem")
+    relations.write_delimited(o, paths[0], ["o_orderkey", "o_custkey", "o_orderstatus"])
+    relations.write_delimited(l, paths[1], ["l_orderkey", "l_linenumber", "l_partkey"])
+    relations.write_relation(joins.concat_join(spark.read.text(paths[0]), spark.read.text(paths[1])), paths[2])
+    return spark.read.parquet(paths[2])
+
+
+@register("staged_scan", "SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY 1")
+def staged_scan(spark, sf_dir):
+    """A scan of a staged copy."""
+    copy = staged(relations.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber"))
+    return copy.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
 @register("page_slice", "SELECT o_orderkey, row_no, (row_no - 1) // 40 AS page_no FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders) WHERE row_no BETWEEN 81 AND 200")
 def page_slice(spark, sf_dir):
     return relations.slice_pages(relations.table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 40, 2, 5)
@@ -316,7 +359,7 @@ def duty_cycle(spark, sf_dir):
     e = relations.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 30).cast("double").alias("power"))
     c = metering.duty_cycle(F.col("power"), 10.0, 100)
     c["ratio"] = F.round(c["ratio"], 9) + F.lit(0.0)
-    return e.select("event_id", "power", *[v.alias(k) for k, v in c.items()])
+    return e.select("event_id", "power", *[v.alias(k) for k, v in c.items() if k not in ("suspends", "executes")])
 
 
 @register(
@@ -463,25 +506,140 @@ def explode_states(spark, sf_dir):
     return metering.explode_states(nested).drop("state_no")
 
 
-# Streaming ------------------------------------------------------------------------------------------------------------
+GATE_SQL = """WITH e AS (SELECT event_id, (user_id % 30)::DOUBLE AS power FROM events),
+    r AS (SELECT *, greatest(power - 10, 0) AS o, greatest(10 - power, 0) AS s FROM e),
+    q AS (SELECT *, CASE WHEN power > 10 THEN (CASE WHEN o > 10 THEN 0.75e0 ELSE o / power END) ELSE s / 10 END AS ratio FROM r),
+    p AS (SELECT *, floor(ratio * 100)::BIGINT AS part FROM q),
+    t AS (SELECT *, CASE WHEN power > 10 THEN part ELSE 100 - part END AS ts, CASE WHEN power > 10 THEN 100 - part ELSE part END AS te FROM p) """
+
+
+@register("duty_cycle_gate", GATE_SQL + "SELECT event_id, ts BETWEEN 1 AND 100 AS suspends, te BETWEEN 1 AND 100 AS executes FROM t")
+def duty_cycle_gate(spark, sf_dir):
+    e = relations.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 30).cast("double").alias("power"))
+    c = metering.duty_cycle(F.col("power"), 10.0, 100)
+    return e.select("event_id", c["suspends"].alias("suspends"), c["executes"].alias("executes"))
+
+
+@register(
+    "power_cap_log",
+    GATE_SQL
+    + """SELECT event_id, printf('%.2f', power * 2) AS package_power, '50.00' AS process_usage, printf('%.2f', power) AS process_power, printf('%.2f', o) AS power_over,
+    printf('%.2f', s) AS power_supply, printf('%.2f', ratio) AS ratio, ts::VARCHAR AS time_sleep, te::VARCHAR AS time_execute FROM t""",
+)
+def power_cap_log(spark, sf_dir):
+    """The controller's log with its columns and number formats."""
+    e = relations.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 30).cast("double").alias("process_power"))
+    c = metering.duty_cycle(F.col("process_power"), 10.0, 100)
+    log = e.select("event_id", (F.col("process_power") * 2).alias("package_power"), F.lit(50.0).alias("process_usage"), "process_power", *[v.alias(k) for k, v in c.items()])
+    return report.formatted(log, report.POWER_CAP_PATTERNS, ["event_id"])
+
+
+@register(
+    "join_partition_report",
+    """WITH RECURSIVE t AS (SELECT 'R' AS name, count(*) AS n FROM orders UNION ALL SELECT 'S', count(*) FROM lineitem),
+    p AS (SELECT name, n, ceil(n / 1000)::BIGINT AS runs, ceil(n / 1000)::BIGINT AS now, 0::BIGINT AS passes FROM t UNION ALL SELECT name, n, runs, (now + 7) // 8, passes + 1 FROM p WHERE now > 1)
+    SELECT name AS "table", n AS relation_rows, 1000::BIGINT AS run_rows, runs AS partition_num, max(passes) AS merge_pass FROM p GROUP BY name, n, runs""",
+)
+def join_partition_report(spark, sf_dir):
+    o, l = _t(spark, sf_dir, "orders", "lineitem")
+    return report.partition_report({"R": o, "S": l}, 1000, 8)
+
 
+@register("join_count_report", f"SELECT 'Total Join Count' AS entry, count(*) AS value FROM ({ORDERS_LINEITEM})")
+def join_count_report(spark, sf_dir):
+    """The count of the join's report; its times differ from run to run, so they are left out here."""
+    joined = _orders_lineitem("sort_merge")(spark, sf_dir)
+    return report.join_report(spark, {"join": joined}).where(F.col("entry") == "Total Join Count")
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keystrata-")
-    return os.path.join(base, f"stream-{os.urandom(8).hex()}")
+
+@register("space_counters", "SELECT event_id, (event_id * 7340033) // 1048576 AS total_mb, (event_id * 1048575) // 1048576 AS free_mb, (event_id * 7340033 - event_id * 1048575) // 1048576 AS used_mb FROM events")
+def space_counters(spark, sf_dir):
+    e = relations.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7340033).alias("total"), (F.col("event_id") * 1048575).alias("free"))
+    return metering.space(e, "total", "free").drop("total", "free")
+
+
+@register(
+    "tsc_frequency",
+    f"""WITH e AS (SELECT event_id, user_id, c, lag(c) {SERIES} AS p FROM (SELECT *, {COUNTER_SQL} AS c FROM events))
+    SELECT event_id, CASE WHEN c < p THEN (4294967295 - p + c) // 100000 ELSE (c - p) // 100000 END AS mhz FROM e""",
+)
+def tsc_frequency(spark, sf_dir):
+    e = relations.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.expr(COUNTER_SQL).alias("c"))
+    before = F.lag("c").over(Window.partitionBy(*BY).orderBy(*ORDER))
+    return e.select("event_id", "c", before.alias("p")).select("event_id", metering.tsc_mhz(F.col("p"), F.col("c"), F.lit(100000)).alias("mhz"))
 
 
-@register("stream_downsample", None)
+@register(
+    "register_decode",
+    f"""WITH e AS (SELECT event_id, {MODEL_SQL} AS model, {REGISTER_SQL} AS v FROM events)
+    SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 100 ELSE (v >> 16) & 255 END AS tj_max, (v & 1023) * 100 // nullif(v & 511, 0) AS busy,
+    floor((((v >> 8) & 255) + 0.5) * ((v & 1023) % 101) / 100)::BIGINT AS p_state, round(pow(2, (v >> 17) & 31) * ((v >> 22) & 3) / pow(2, (v >> 16) & 15), 6) + 0e0 AS plain_window,
+    CASE WHEN (v & 1) <> ((v >> 9) & 1) THEN xor(v, 513) ELSE v END AS swapped, (v & 48) = 48 AS all_set, round(v % 100000 * 0.00027777777778::DOUBLE * 1000, 6) + 0e0 AS mwh,
+    CASE model WHEN 'SANDY_BRIDGE' THEN 'Sandy Bridge' WHEN 'JAKETOWN' THEN 'Sandy Bridge-EP/Jaketown' WHEN 'NEHALEM_EP' THEN 'Nehalem/Nehalem-EP' ELSE 'Unknown' END AS code_name,
+    CASE WHEN event_id % 8 = 6 THEN 'Intel' ELSE 'Unknown' END AS vendor FROM e""",
+)
+def register_decode(spark, sf_dir):
+    """Limits, busy share, P-state, plane windows, bit helpers and names from registers; every third register is unreadable."""
+    e = relations.table(spark, sf_dir, "events").select("event_id", F.expr(MODEL_SQL).alias("model"), F.expr(REGISTER_SQL).alias("v"))
+    v, k = F.col("v"), F.col("event_id")
+    low = v.bitwiseAND(F.lit(1023))
+    window = units.plain_time_window(v, (17, 21), (22, 23), units.unit_scale(v, 16, 19))
+    return e.select(
+        "event_id",
+        units.temperature_limit(F.when(k % 3 != 0, v)).alias("tj_max"),
+        units.busy_percent(v.bitwiseAND(F.lit(511)), low).alias("busy"),
+        units.busy_p_state(low % 101, bits.bit_extract(v, 8, 15)).alias("p_state"),
+        (F.round(window, 6) + F.lit(0.0)).alias("plain_window"),
+        bits.bit_swap(v, 0, 9).alias("swapped"),
+        bits.bits_all_set(v, 4, 5).alias("all_set"),
+        (F.round(units.joule_to_milliwatt_hour((v % 100000).cast("double")), 6) + F.lit(0.0)).alias("mwh"),
+        units.code_name(F.col("model")).alias("code_name"),
+        units.vendor_name(k % 8).alias("vendor"),
+    )
+
+
+@register(
+    "text_formats",
+    """WITH e AS (SELECT event_id, (event_id - 5000) * 12345 AS n, value, ts FROM events)
+    SELECT event_id, CASE WHEN n < 0 THEN '(' || format('{:,}', -n) || ')' ELSE format('{:,}', n) END AS grouped, printf('%d watt', n) AS watt, n AS parsed,
+    event_id % 256 AS from_hex, event_id % 64 AS from_octal, round(value, 3) + 0e0 AS from_text,
+    year(ts) || ':' || printf('%02d:%02d:%02d:%02d:%02d', month(ts) - 1, day(ts), hour(ts), minute(ts), second(ts)) AS time_text, date_trunc('second', ts)::TIMESTAMP AS parsed_time FROM e""",
+)
+def text_formats(spark, sf_dir):
+    e = relations.table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") - 5000) * 12345).alias("n"), "value", "ts")
+    n, k = F.col("n"), F.col("event_id")
+    written = text.time_text(F.col("ts"))
+    return e.select(
+        "event_id",
+        text.thousands(n).alias("grouped"),
+        text.patterned(n, "%d watt").alias("watt"),
+        text.text_to_long(F.concat(F.lit("  "), n.cast("string"), F.lit("kg"))).alias("parsed"),
+        text.text_to_long(F.concat(F.lit("0x"), F.hex(k % 256))).alias("from_hex"),
+        text.text_to_long(F.concat(F.lit("0"), F.conv((k % 64).cast("string"), 10, 8))).alias("from_octal"),
+        (F.round(text.text_to_double(F.concat(F.col("value").cast("string"), F.lit(" J"))), 3) + F.lit(0.0)).alias("from_text"),
+        written.alias("time_text"),
+        text.parse_time_text(written).cast("timestamp_ntz").alias("parsed_time"),
+    )
+
+
+# Streaming ------------------------------------------------------------------------------------------------------------
+
+
+@register(
+    "stream_downsample",
+    """SELECT user_id, bucket, n, unnest(last) FROM (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS bucket, count(*) AS n, arg_max({'event_id': event_id, 'value': value}, (ts, event_id)) AS last
+    FROM events GROUP BY user_id, date_trunc('hour', ts)) WHERE bucket + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""",
+)
 def stream_downsample(spark, sf_dir):
-    """Hourly last samples from a stream over the events; the window the watermark has not passed stays open."""
+    """Hourly last samples from a stream over the events: the windows that the watermark, ten minutes behind the last
+    sample, has passed. Later windows stay open for the samples to come."""
     from ..streaming import sampling
 
     schema = relations.table(spark, sf_dir, "events").schema
     stream = sampling.sample_stream(spark, f"{sf_dir}/events.parquet", schema)
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     sampling.drain(sampling.downsample_stream(stream, "user_id"), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @register("stream_duty_cycle", "SELECT event_id, (user_id % 30)::DOUBLE AS power, CASE WHEN power > 10 THEN CASE WHEN power > 20 THEN 75 ELSE floor((power - 10) / power * 100)::BIGINT END ELSE 100 - floor((10 - power) / 10 * 100)::BIGINT END AS time_sleep FROM events")
@@ -490,6 +648,6 @@ def stream_duty_cycle(spark, sf_dir):
 
     schema = relations.table(spark, sf_dir, "events").schema
     stream = sampling.sample_stream(spark, f"{sf_dir}/events.parquet", schema).select("event_id", (F.col("user_id") % 30).cast("double").alias("power"))
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     sampling.drain(sampling.duty_cycle_stream(stream, "power", 10.0).select("event_id", "power", "time_sleep"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import text_key
@@ -29,6 +29,12 @@ def write_relation(df: DataFrame, path: str, key: str | None = None, mode: str =
     df.write.mode(mode).parquet(path)
 
 
+def write_delimited(df: DataFrame, path: str, columns: list[str], delimiter: str = "|", mode: str = "overwrite") -> None:
+    """Lines of the given columns, a delimiter behind each; null columns are empty fields."""
+    fields = [x for c in columns for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(delimiter))]
+    df.select(F.concat(*fields).alias("value")).write.mode(mode).text(path)
+
+
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
@@ -36,12 +42,11 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def slice_rows(df: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
     """Rows first..last (1-based, inclusive) of df in a total order, as column ``row_no``.
 
-    A take of the first ``last`` rows by TakeOrderedAndProject bounds what the numbering window sees, so the global
-    window never holds more than the slice's end.
+    Rows are ranked in their range partitions, so a slice near the end costs no more than one near the start.
     """
-    head = df.orderBy(*order).limit(last)
-    numbered = head.withColumn("row_no", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    return numbered.where(F.col("row_no") >= first)
+    from ..operators.sorting import with_rank
+
+    return with_rank(df, order, "row_no").where(F.col("row_no").between(first, last))
 
 
 def slice_pages(df: DataFrame, order: list[str], rows_per_page: int, first_page: int, last_page: int) -> DataFrame:

@@ -13,5 +13,5 @@ def test_matches_oracle(spark, name):
     assert rows(df.columns, df.collect()) == duck(SF, catalogue.ORACLE[name])
 
 
-def test_stream_downsample_closes_all_but_open_windows(spark):
-    assert catalogue.QUERIES["stream_downsample"](spark, SF).count() > 9000
+def test_every_query_has_sql():
+    assert set(catalogue.ORACLE) == set(catalogue.QUERIES)
