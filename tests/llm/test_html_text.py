@@ -63,6 +63,39 @@ def test_other_layouts(net):
     assert right / total > 0.97
 
 
+def test_markup_that_is_never_closed():
+    texts = lambda page: [b.text for b in h.blocks(page)]
+    assert texts('<p title="a>One</p><p class="b">Two</p>') == ["One", "Two"]
+    assert texts("<p data-x='a>b' title=\"c>d\">One</p>") == ["One"]
+    for name in ("button", "select", "textarea", "canvas", "object", "iframe", "noscript"):
+        assert texts(f"<div>a<{name}>Menu</div><p>One</p><div>b<{name}>x</{name}>c</div>") == ["a", "One", "b c"], name
+    assert texts("<p>a <svg/> b <math/> c</p><p>d<svg><svg/><svg>x</svg></svg>e</p>") == ["a b c", "d e"]
+    assert texts("<p>x<b><i><u><em><span>y<div>z") == ["xy", "z"] and [p[0] for p in h.blocks("<p>x<b><i><u><em><span>y<div>z")[1].path] == ["div"]
+    assert texts("<button>" * 3 + "<p>One") == ["One"]
+
+
+def test_every_word_counts():
+    one, two = (h.vectors(h.blocks("<p>" + "word " * 400 + w))[0] for w in ("last", "cookies"))
+    assert not np.array_equal(one, two)
+
+
+def test_words_decide_where_classes_are_missing(net):
+    """Pages without telling classes, labelled by words, shape and sequence."""
+    rng, right, blind, total = np.random.default_rng(7), 0, 0, 0
+    lo = (1 << h.PATH_BITS) + (1 << h.NEAR_BITS)
+    for _ in range(200):
+        p, labels = h.training_page(rng, named=0)
+        b = h.blocks(p)
+        if b and len(b) == len(labels):
+            x = h.vectors(b)
+            right += ((net.forward(*h.padded([x]))[0][:, 0] > 0.5) == np.array(labels)).sum()
+            x[:, lo : lo + (1 << h.WORD_BITS)] = 0
+            blind += ((net.forward(*h.padded([x]))[0][:, 0] > 0.5) == np.array(labels)).sum()
+            total += len(b)
+    print("blocks without classes", right / total, "without words too", blind / total)
+    assert right / total > 0.96 and right > blind + 0.01 * total
+
+
 def test_table_cases(spark, net):
     df = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<article>" + "<p>x y</p>" * 5000 + "</article>", "t"), (3, "u", "<article><p>z</article>", "t")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars) for r in h.extract(df, net).collect())
