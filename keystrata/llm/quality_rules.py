@@ -2,11 +2,12 @@
 
 A document's zstandard ratio (bytes / compressed bytes) must lie in a band chosen by its length, and so must most of
 its fixed chunks, the last partial one included: text that compresses far better is repetitive, text that hardly
-compresses is noise. A chunk is held to the band of a text of its length. Texts and tails under ``MIN_BYTES`` have no
-verdict of their own and pass.
+compresses is noise. A chunk is held to the band of a text of its length. Tails under ``MIN_BYTES`` have no verdict of
+their own and pass; so would texts, but the ten words that the word rule asks for take more.
 
-Null text counts as empty. Empty text has no words, so the word rule rejects it. Extra input columns are ignored;
-repeated rows each get their own result; an empty table gives an empty one.
+Null text counts as empty. Empty text has no words, so the word rule rejects it. Texts of any length are read whole. A
+ratio just on a limit (a tie) is inside. Extra input columns are ignored, whatever their names; repeated rows and rows
+without doc_id each get their own result; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from . import common
 
 #: (bytes, lowest ratio, highest ratio), in between interpolated by the logarithm of the length. Five standard
 #: deviations on either side of the mean ratio of texts of that length, from the texts labelled good with even doc_id
-#: in sf0.1. From 65536 bytes on too few exist: the trend is carried on with a wider margin, and the last row is a guess.
+#: in sf0.1; below 128 bytes from slices of them, with a wider margin. From 65536 bytes on too few exist: the trend is
+#: carried on with a wider margin, and the last row is a guess.
 BANDS = [
-    (128, 0.95, 1.60), (256, 1.14, 1.81), (512, 1.33, 1.93), (1024, 1.60, 2.10), (2048, 1.85, 2.20), (4096, 2.01, 2.30),
+    (16, 0.50, 0.85), (32, 0.60, 1.05), (64, 0.70, 1.50), (128, 0.95, 1.60), (256, 1.14, 1.81), (512, 1.33, 1.93), (1024, 1.60, 2.10), (2048, 1.85, 2.20), (4096, 2.01, 2.30),
     (8192, 2.10, 2.41), (16384, 2.20, 2.50), (32768, 2.32, 2.61), (65536, 2.30, 2.85), (131072, 2.20, 3.10), (1 << 20, 1.5, 5.0),
 ]
 MIN_BYTES = BANDS[0][0]

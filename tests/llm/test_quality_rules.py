@@ -83,3 +83,10 @@ def test_bands_part_labelled_texts_that_the_word_rule_keeps(spark):
     rows = q.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id").where("not base_failed").collect()
     bad, good = ([r.kept for r in rows if r.quality == k] for k in (0, 1))
     assert 3 * bad.count(False) > len(bad) and 200 * good.count(False) <= len(good)
+
+
+def test_short_texts_have_bands_too():
+    squeeze = zstandard.ZstdCompressor(level=q.LEVEL).compress
+    verdict = lambda t: q.compression_verdict(t.encode(), squeeze)[0]
+    assert verdict("We saw the old mill by the river again in May.") and verdict("one two three four five six seven eight nine ten")
+    assert not verdict("ha " * 30) and not verdict("-=" * 60) and verdict("tiny")
