@@ -60,6 +60,14 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions of an exchange, as the session sets them for its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,8 +17,14 @@ anchor, 64 of the whole run with the anchor's place), dealt by anchor:
   anchor and their windows compared one by one;
 * equal runs of one piece of a map task are folded before any shuffle, so a hot passage reaches a task once a piece.
 
-Null text counts as empty; texts shorter than LENGTH keep all their bytes. Rows that repeat a doc_id with the same text
-are the same document and get the same result. Extra columns are ignored; an empty table gives an empty result.
+Levels find whole runs by their fingerprints (96 bits); windows of open runs are grouped by 64-bit hashes and then
+compared byte by byte, so that no two different strings are taken for equal there.
+
+Null text counts as empty; texts shorter than LENGTH keep all their bytes; texts of any length are read whole. Rows that
+repeat a doc_id with the same text are the same document and get the same result; different texts of one doc_id are
+different documents, in the order of their hashes. A null doc_id counts as the least one. Ties between equal strings go
+by document and place, so there are none left. Extra columns are ignored or kept as they are, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -239,44 +245,92 @@ def _list_arrays(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray,
 CONTEXTS = "anchor int, doc_id bigint, lo int, n int, context binary"
 
 
-def map_contexts(length: int):
+def map_contexts(length: int, names: Columns):
     """The text that each open run's windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches):
             buf, offsets = common.text_buffer(piece.column("text"))
-            row, lo, n, anchor = _list_arrays(piece.column("_ks_runs"), ("lo", "n", "anchor"))
+            row, lo, n, anchor = _list_arrays(piece.column(names.runs), ("lo", "n", "anchor"))
             if not len(row):
                 continue
             raw, base = buf.tobytes(), (lo + offsets[row]).tolist()
             texts = [raw[a : a + k] for a, k in zip(base, (n - 1 + length).tolist(), strict=True)]
-            ids = piece.column("doc_id").to_numpy(zero_copy_only=False)[row].astype(np.int64)
+            ids = piece.column(names.key).to_numpy(zero_copy_only=False)[row].astype(np.int64)
             columns = [anchor.astype(np.int32), ids, lo.astype(np.int32), n.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.binary())], names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
     return run
 
 
+def equal_strings(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings of ``length`` bytes at a and b are equal, by eight bytes at a time."""
+    same = np.ones(len(a), bool)
+    if length < 8:
+        return np.all([buf[a + k] == buf[b + k] for k in range(length)], axis=0)
+    raw = np.concatenate((buf, np.zeros(8, np.uint8)))
+    words = np.ndarray((len(buf) + 1,), "<u8", raw.data, strides=(1,))
+    for at in [*range(0, length - 8, 8), length - 8]:
+        left = np.flatnonzero(same)
+        same[left] = words[a[left] + at] == words[b[left] + at]
+    return same
+
+
+def equal_runs(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """equal_strings() for many strings that follow each other byte by byte on both sides: of such a run the first is
+    compared whole and of the others the last byte; where that finds a difference all of the run are compared whole."""
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    start = np.ones(len(x), bool)
+    start[1:] = (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)
+    first = np.flatnonzero(start)
+    same = buf[x + length - 1] == buf[y + length - 1]
+    same[first] = equal_strings(buf, x[first], y[first], length)
+    sure = np.repeat(np.logical_and.reduceat(same, first), np.diff(np.append(first, len(x)))) if len(x) else same
+    rest = np.flatnonzero(~sure)
+    same[rest] = equal_strings(buf, x[rest], y[rest], length)
+    out = np.zeros(len(a), bool)
+    out[order] = same
+    return out
+
+
+def later_strings(buf: np.ndarray, at: np.ndarray, key: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Which strings at ``at`` occur earlier (by doc, place) among them. key: their hashes; strings of one key that differ
+    are told apart by another round among themselves."""
+    out, rows = np.zeros(len(at), bool), np.arange(len(at))
+    while len(rows):
+        order = rows[np.lexsort((place[rows], doc[rows], key[rows]))]
+        k = key[order]
+        head = np.ones(len(k), bool)
+        head[1:] = k[1:] != k[:-1]
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
+        same = equal_runs(buf, at[order], at[lead], length)
+        out[order[same]] = ((doc[order] != doc[lead]) | (place[order] != place[lead]))[same]
+        rows = order[~same]
+    return out
+
+
 def settle_windows(length: int):
     """Intervals of windows in open runs that an earlier document or place holds too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, places = [], [], []
+        texts, starts, keys, docs, places, size = [], [], [], [], [], 0
         for batch in batches:
             for piece in common.pieces(iter([batch]), "context"):
                 buf, offsets = common.text_buffer(piece.column("context"))
                 doc, lo, n = (piece.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "lo", "n"))
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(offsets[:-1], n) + step
-                rolling = Rolling(buf)
-                # Two segments each: a window counts as equal if the whole and its first half agree in 128 bits mixed to 64.
-                keys.append(common.mix(rolling.segment(at, at + length)) ^ common.mix(rolling.segment(at, at + length // 2) + U64(7)))
+                keys.append(Rolling(buf).segment(at, at + length))
                 docs.append(np.repeat(doc, n))
                 places.append((np.repeat(lo, n) + step).astype(np.int32))
+                starts.append(at + size)
+                texts.append(buf)
+                size += len(buf)
         if not keys:
             return
-        key, doc, place = (np.concatenate(x) for x in (keys, docs, places))
-        _, later = first_and_later(key, doc, place)
+        text, at, key, doc, place = (np.concatenate(x) for x in (texts, starts, keys, docs, places))
+        later = later_strings(text, at, key, doc, place, length)
         d, a, e = merged(doc[later], place[later].astype(np.int64), place[later].astype(np.int64) + 1)
         if len(d):
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array((e - a).astype(np.int32))], names=["doc_id", "lo", "n"])
@@ -284,45 +338,68 @@ def settle_windows(length: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(_ks_id, _ks_spans array<struct<lo, n>>): per document the runs of starts whose strings occur earlier.
+class Columns:
+    """Names for the columns that come and go beside those of docs."""
+
+    def __init__(self, docs: DataFrame):
+        self.key, self.id, self.runs, self.spans = (common.fresh(docs, x) for x in ("_ks_key", "_ks_id", "_ks_runs", "_ks_spans"))
+
 
-    docs comes from keyed(). Its rows are dealt by doc_id for the open runs just as a caller that joins the result
-    deals them, so that both use one exchange of the texts.
+def repeated_windows(docs: DataFrame, names: Columns, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """(id, spans array<struct<lo, n>>): per document the runs of starts whose strings occur earlier.
+
+    docs comes from keyed(). Its rows are dealt by key for the open runs just as a caller that joins the result deals
+    them, so that both use one exchange of the texts.
     """
     n_parts = common.parts(docs.sparkSession)
-    runs = docs.select("doc_id", "text").mapInArrow(map_runs(length, seed), RUNS).repartition(n_parts, "anchor")
+    runs = docs.select(F.col(names.key).alias("doc_id"), "text").mapInArrow(map_runs(length, seed), RUNS).repartition(n_parts, "anchor")
     scanned = common.materialise(runs.mapInArrow(scan_family, "doc_id bigint, lo int, n int, repeated boolean, anchor int"), "suffix-runs")
-    opened = scanned.where("not repeated").groupBy(F.col("doc_id").alias("_ks_id")).agg(F.collect_list(F.struct("lo", "n", "anchor")).alias("_ks_runs"))
-    contexts = docs.join(opened, docs["doc_id"] == opened["_ks_id"]).mapInArrow(map_contexts(length), CONTEXTS)
+    opened = scanned.where("not repeated").groupBy(F.col("doc_id").alias(names.id)).agg(F.collect_list(F.struct("lo", "n", "anchor")).alias(names.runs))
+    contexts = docs.join(opened, docs[names.key] == opened[names.id]).mapInArrow(map_contexts(length, names), CONTEXTS)
     edges = contexts.repartition(n_parts, "anchor").mapInArrow(settle_windows(length), "doc_id bigint, lo int, n int")
     whole = scanned.where("repeated").select("doc_id", "lo", "n")
-    return whole.unionByName(edges).groupBy(F.col("doc_id").alias("_ks_id")).agg(F.collect_list(F.struct("lo", "n")).alias("_ks_spans"))
+    return whole.unionByName(edges).groupBy(F.col("doc_id").alias(names.id)).agg(F.collect_list(F.struct("lo", "n")).alias(names.spans))
+
 
+def keyed(docs: DataFrame, names: Columns) -> DataFrame:
+    """docs with a key that is never null, in the order of doc_id, and of the texts' hashes where a doc_id has several.
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a doc_id that is never null: no join needs a filter on it, which would make its exchange another one."""
-    return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    Usually the key is the doc_id itself: no join needs a filter on it, which would make its exchange another one. Only
+    where different texts share a doc_id the pairs of both are numbered in order.
+    """
+    text, doc_id = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    texts = docs.select(doc_id.alias("id"), text.alias("hash")).groupBy("id").agg(F.min("hash").alias("a"), F.max("hash").alias("b"))
+    if texts.where("a <> b").isEmpty():
+        return docs.withColumn(names.key, doc_id)
+    pairs = docs.select(doc_id.alias("id"), text.alias("hash")).distinct()
+    pairs = pairs.repartitionByRange(common.parts(docs.sparkSession), "id", "hash").sortWithinPartitions("id", "hash")
+    pairs = common.materialise(pairs.withColumn(names.key, F.monotonically_increasing_id()), "document-order")
+    found = docs.join(pairs, (doc_id == pairs["id"]) & (text == pairs["hash"]))
+    return found.select(*[docs[c] for c in docs.columns], pairs[names.key])
 
 
-def with_spans(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    spans = repeated_windows(docs, length, seed)
-    return docs.join(spans, docs["doc_id"] == spans["_ks_id"], "left")
+def with_spans(docs: DataFrame, names: Columns, length: int, seed: int) -> DataFrame:
+    docs = keyed(docs, names)
+    spans = repeated_windows(docs, names, length, seed)
+    return docs.join(spans, docs[names.key] == spans[names.id], "left")
 
 
-def _removed(piece: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _removed(piece: pa.RecordBatch, names: Columns, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Texts' bytes and offsets; row, start and end (in the row) of the maximal removed spans."""
     buf, offsets = common.text_buffer(piece.column("text"))
-    row, lo, n = _list_arrays(piece.column("_ks_spans"), ("lo", "n"))
+    row, lo, n = _list_arrays(piece.column(names.spans), ("lo", "n"))
     return buf, offsets, *merged(row, lo, lo + n - 1 + length)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
 
+    docs = docs.select("doc_id", "text")
+    names = Columns(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches):
-            buf, offsets, row, start, end = _removed(piece, length)
+            buf, offsets, row, start, end = _removed(piece, names, length)
             size, count = piece.num_rows, np.bincount(row, minlength=piece.num_rows)
             gone = np.bincount(row, weights=end - start, minlength=size).astype(np.int64)
             cuts = np.searchsorted(row, np.arange(size + 1))
@@ -339,18 +416,17 @@ def digests(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    out = with_spans(keyed(docs.select("doc_id", "text")), length, seed).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return with_spans(docs, names, length, seed).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """docs with repeated strings cut from text at whole characters, n_chars (if there) counted anew; rows left without
     a word go."""
-    names = docs.columns
+    own, names = docs.columns, Columns(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in common.pieces(batches):
-            buf, offsets, row, start, end = _removed(piece, length)
+            buf, offsets, row, start, end = _removed(piece, names, length)
             inner = np.append((buf & 0xC0) == 0x80, False)
             cuts, raw, texts = np.searchsorted(row, np.arange(piece.num_rows + 1)), buf.tobytes(), []
             nulls = piece.column("text").is_null().to_pylist()
@@ -366,14 +442,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
                     at = b
                 kept.append(raw[base + at : base + size])
                 texts.append(None if nulls[i] else b"".join(kept).decode())
-            columns = [piece.column(c) for c in names]
-            columns[names.index("text")] = pa.array(texts, pa.string())
-            if "n_chars" in names:
+            columns = [piece.column(c) for c in own]
+            columns[own.index("text")] = pa.array(texts, pa.string())
+            if "n_chars" in own:
                 kind = piece.schema.field("n_chars").type
-                columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts]).cast(kind)
+                columns[own.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts]).cast(kind)
             # What was empty before stays; what removal has emptied goes.
             keep = pa.array([bool(t and t.strip()) or cuts[i] == cuts[i + 1] for i, t in enumerate(texts)])
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+            yield pa.RecordBatch.from_arrays(columns, names=own).filter(keep)
 
-    out = with_spans(keyed(docs), length, seed).mapInArrow(run, docs.schema)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return with_spans(docs, names, length, seed).mapInArrow(run, docs.schema)

@@ -81,3 +81,33 @@ def test_null_ids_and_one_exchange_of_texts(spark):
     df = spark.createDataFrame([(None, text), (1, text)], "doc_id long, text string")
     out = s.digests(df)
     assert sorted((r.doc_id is None, r.n_removed) for r in out.collect()) == [(False, 300), (True, 0)]
+
+
+def test_strings_of_equal_hash_are_told_apart():
+    """With keys that all clash, byte comparison alone finds the earlier strings."""
+    rng = np.random.default_rng(8)
+    for length in (3, 8, 11, 40):
+        buf = rng.integers(97, 99, 700).astype(np.uint8)
+        buf[400:600] = buf[50:250]
+        at = np.arange(len(buf) - length + 1)
+        doc, place = at // 90, (at % 90).astype(np.int32)
+        got = s.later_strings(buf, at, np.zeros(len(at), np.uint64), doc, place, length)
+        seen = set()
+        for k in at.tolist():
+            w = bytes(buf[k : k + length])
+            assert got[k] == (w in seen)
+            seen.add(w)
+
+
+def test_different_texts_of_one_id_and_clashing_names(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = ("".join(rng.choice(list("abcdefgh "), 231)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b + a), (None, c), (None, b + c), (7, "x" + b), (8, "short")]
+    names = "doc_id long, text string, _ks_id int, _ks_key int, _ks_spans int, _ks_runs int"
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], names).repartition(3)
+    got = {(r.doc_id, r.n_bytes): r for r in s.digests(df).collect()}
+    assert all(r.n_removed <= r.n_bytes for r in got.values())
+    # Whichever text of an id comes first by hash, each string stays once.
+    assert got[(1, 231)].n_removed + got[(1, 462)].n_removed == 231 + 231 and got[(None, 231)].n_removed + got[(None, 462)].n_removed == 231 and got[(7, 232)].n_removed == 231
+    kept = s.without_repeats(df)
+    assert kept.columns == df.columns and all(r[2:] == (1, 2, 3, 4) for r in kept.collect())
