@@ -1,7 +1,14 @@
 """From raw documents to token ids: quality rules, near-duplicates, repeated passages, benchmark leaks, encoding.
 
 Every stage works on all that its predecessor kept. Its result is written as Parquet in the shared folder and read
-again, which cuts lineage: a lost executor costs at most the running stage.
+again, which cuts lineage: a lost executor costs at most the running stage. run() deletes a stage's table once the next
+one is written.
+
+Null and empty texts have no words and go with the quality rules. Rows without doc_id are documents of their own; they
+come after all others where the least id stays, and before them where the earlier string stays. Of rows that repeat
+doc_id and text one stays; different texts of one doc_id are different documents. Of equal documents the least doc_id
+stays, so ties leave no choice. Texts of any length are read whole. An empty table gives an empty result with the same
+columns. Columns beside those of documents are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            common.drop_table(before)
+        before = docs
     return docs
