@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 
 #: With it, Spark deletes a query's shuffle files when the query ends.
@@ -35,10 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to or from Python: texts of any usual batch fit an executor's memory many times.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of a few megabytes from now on; a single longer row still travels whole."""
+    spark.conf.set(*ARROW_BYTES)
+    return spark
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and reread: cuts lineage, survives lost executors. The query's shuffle
     files are deleted at its end."""
-    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark, path = bounded_batches(df.sparkSession), f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(DROP_SHUFFLES)
     spark.conf.set(DROP_SHUFFLES, "true")
     try:

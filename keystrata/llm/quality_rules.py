@@ -140,6 +140,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """Rows of docs that pass, all columns kept. The verdict rides along in the same pass: no join, no shuffle."""
     names = docs.columns
+    common.bounded_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=LEVEL).compress

@@ -264,6 +264,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with text replaced by what its ids decode to, and new columns n_tokens and ids (the last two; columns of
     docs with these names give way). Null text stays null with the begin and end ids."""
     names = [c for c in docs.columns if c not in ("n_tokens", "ids")]
+    common.bounded_batches(docs.sparkSession)
     kept = docs.select(*names)
     at = names.index("text")
 
