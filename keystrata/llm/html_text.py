@@ -160,16 +160,17 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-_HASHES: dict[str, int] = {}
+class Hashes(dict):
+    """Token to hash, emptied when it has grown large."""
 
+    def __missing__(self, token: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[token] = zlib.crc32(token.encode())
+        return h
 
-def token_hash(token: str) -> int:
-    h = _HASHES.get(token)
-    if h is None:
-        if len(_HASHES) > 200_000:
-            _HASHES.clear()
-        h = _HASHES[token] = zlib.crc32(token.encode())
-    return h
+
+HASHES = Hashes()
 
 
 def vectors(page: list[Block]) -> np.ndarray:
@@ -178,20 +179,23 @@ def vectors(page: list[Block]) -> np.ndarray:
     near_at, word_at, rest_at = 1 << PATH_BITS, (1 << PATH_BITS) + (1 << NEAR_BITS), WIDTH - N_MEASURES
     total = sum(b.size for b in page) or 1
     before = 0
+    words = [PART.findall(b.text.lower()) for b in page]
+    count = np.array([len(w) for w in words], np.int64)
+    if count.any():
+        h = np.fromiter((x for w in words for x in map(HASHES.__getitem__, w)), np.int64, int(count.sum()))
+        place = np.repeat(np.arange(len(page)) << WORD_BITS, count) + (h & ((1 << WORD_BITS) - 1))
+        sums = np.bincount(place, weights=np.where(h >> 16 & 1, 1.0, -1.0), minlength=len(page) << WORD_BITS)
+        out[:, word_at:rest_at] = sums.reshape(len(page), -1) / (count + 4)[:, None]
     for i, b in enumerate(page):
         row = out[i]
         for k, tokens in enumerate(b.path):
             for t in tokens:
                 if t in ("html", "body"):
                     continue
-                h = token_hash(t)
+                h = HASHES[t]
                 row[h & ((1 << PATH_BITS) - 1)] = 1.0 if h >> 20 & 1 else -1.0
                 if k >= len(b.path) - 2:
                     row[near_at + (h >> 7 & ((1 << NEAR_BITS) - 1))] = 1.0 if h >> 21 & 1 else -1.0
-        words = PART.findall(b.text.lower())
-        for w in words:
-            h = token_hash(w)
-            row[word_at + (h & ((1 << WORD_BITS) - 1))] += (1.0 if h >> 16 & 1 else -1.0) / (len(words) + 4)
         row[rest_at:] = (np.log1p(b.size) / 6, b.linked / b.size, before / total, b.size / total, i / len(page), b.text[-1] in ".!?", min(len(b.path), 12) / 12, 1.0)
         before += b.size
     return out
