@@ -1,12 +1,13 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good, bad or nothing on every text. Expectation-maximisation over the counts of
-vote patterns of all documents (at most 3^labellers of them) estimates the prior and, for each labeller and class, the
-probabilities of its votes. Posterior labels of a bounded sample train a logistic scorer over hashed word shapes and
+Overlapping heuristic labellers vote good, bad or nothing on every text; each of them errs. Expectation-maximisation over
+the counts of vote patterns of all documents (at most 3^labellers of them) starts at the majority and estimates the prior
+and, for each labeller and class, how often its votes are good or bad; no vote is no evidence. So a bad vote of a labeller
+that often errs is overruled by good ones, and one of a labeller that hardly does is not. Posterior labels of a bounded sample train a logistic scorer over hashed word shapes and
 hashed statistic bins; the scorer then rates every text, whole.
 
 No given label is used. Null and empty texts have no words: every labeller abstains and the scorer's base rate holds,
-so they are kept. Repeated rows each get a result; extra columns are ignored; an empty table gives an empty result.
+so they are kept. Patterns with as many good as bad votes start at a half. Texts of any length are read whole. Repeated rows each get a result; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ ROUNDS = 300
 EM_ROUNDS = 60
 
 STATISTICS = ["symbols", "capitals", "repeats", "lines", "wordless", "short", "ratio", "marks"]
-#: From here on a labeller votes bad. Each sees one kind of fault, and abstains where it sees none; EM weighs both.
-FAULTS = {"symbols": 0.1, "capitals": 0.4, "repeats": 0.25, "lines": 0.4, "wordless": 0.15, "short": 0.48, "ratio": 1.0, "marks": 0.3}
-#: The share of short words that prose has: inside, "short" votes good; below the first limit it votes bad.
-PROSE_SHORT = (0.03, 0.12, 0.46)
+#: From here on a labeller votes bad.
+FAULTS = {"symbols": 0.1, "capitals": 0.1, "repeats": 0.15, "lines": 0.3, "wordless": 0.04, "short": 0.48, "ratio": 1.0, "marks": 0.2}
+#: Up to here it votes good; between the two it abstains.
+CLEAN = {"symbols": 0.02, "capitals": 0.05, "repeats": 0.02, "lines": 0.02, "wordless": 0.01, "ratio": 0.96, "marks": 0.05}
+#: The share of short words that prose has: inside the last two, "short" votes good; below the first it votes bad.
+PROSE_SHORT = (0.1, 0.22, 0.36)
 #: "short" needs a text of so many words.
 MIN_PROSE = 20
 #: Texts with fewer words give no evidence.
@@ -95,7 +98,9 @@ def votes(table: np.ndarray, words: np.ndarray) -> np.ndarray:
     """+1 good, -1 bad, 0 no vote, per text and labeller."""
     out = np.zeros(table.shape, np.int8)
     for j, name in enumerate(STATISTICS):
-        out[:, j] = -(table[:, j] >= FAULTS[name]).astype(np.int8)
+        out[:, j] = np.where(table[:, j] >= FAULTS[name], -1, table[:, j] <= CLEAN.get(name, -1))
+    j = STATISTICS.index("ratio")
+    out[table[:, j] == 0, j] = 0  # too short for a band
     j = STATISTICS.index("short")
     low, good, high = PROSE_SHORT
     share = table[:, j]
@@ -114,24 +119,22 @@ def pattern_votes(code: np.ndarray) -> np.ndarray:
 
 
 def fit_labellers(code: np.ndarray, count: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
-    """EM over pattern counts: posterior of good per pattern, vote tables [labeller, class, vote], prior of good.
+    """EM over pattern counts: posterior of good per pattern, vote tables [labeller, class, bad or good], prior of good.
 
-    A text with any bad vote starts as bad; classes keep their meaning as good votes stay likelier among good texts.
+    Patterns start at the share of good among their votes. Abstentions are missing votes, not evidence.
     """
     vote = pattern_votes(code)
-    post = np.where((vote < 0).any(axis=1), 0.1, np.where((vote > 0).any(axis=1), 0.95, 0.9))
+    bad, good = (vote < 0).astype(float), (vote > 0).astype(float)
+    post = (good.sum(axis=1) + 1) / (good.sum(axis=1) + bad.sum(axis=1) + 2)
     weight = count.astype(float)
     tables = prior = None
     for _ in range(rounds):
         prior = float(np.clip((post * weight).sum() / max(weight.sum(), 1), 0.02, 0.98))
-        tables = np.zeros((vote.shape[1], 2, 3))
-        for c, p in enumerate((1 - post, post)):
-            for v in (-1, 0, 1):
-                tables[:, c, v + 1] = ((vote == v) * (p * weight)[:, None]).sum(axis=0) + 1.0
+        classes = np.stack((1 - post, post)) * weight
+        tables = np.stack((classes @ bad, classes @ good), axis=2).transpose(1, 0, 2) + 1.0
         tables /= tables.sum(axis=2, keepdims=True)
-        each = np.log(tables[np.arange(vote.shape[1])[None, :], :, vote + 1])
-        each = each.sum(axis=1)
-        post = sigmoid(each[:, 1] - each[:, 0] + np.log(prior / (1 - prior)))
+        odds = np.log(tables[:, 1] / tables[:, 0])
+        post = sigmoid(bad @ odds[:, 0] + good @ odds[:, 1] + np.log(prior / (1 - prior)))
     return post, tables, prior if prior is not None else 0.5
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from keystrata.llm import quality_model as q
 from keystrata.llm import toxicity as t
@@ -53,6 +54,23 @@ def test_em_finds_accurate_labellers():
     assert (got == good).mean() > 0.95 and abs(prior - 0.8) < 0.05
 
 
+def test_em_overrules_lone_bad_votes_on_the_tables():
+    docs, labels = (pq.read_table(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    found = [q.statistics(b)[:2] for b in docs.select(["doc_id", "text"]).to_batches(max_chunksize=1000)]
+    vote = q.votes(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    code, back, count = np.unique(q.pattern_code(vote), return_inverse=True, return_counts=True)
+    post, _, _ = q.fit_labellers(code, count)
+    good = post[back] > 0.5
+    quality = dict(zip(labels["doc_id"].to_pylist(), labels["quality"].to_pylist(), strict=True))
+    truth = np.array([quality.get(i, -1) for i in docs["doc_id"].to_pylist()])
+    bad, fine = (vote < 0).sum(axis=1), (vote > 0).sum(axis=1)
+    assert good[truth == 1].mean() > 0.99 and good[truth == 0].mean() < 0.02
+    # Neither "no labeller voted bad" nor the majority, where EM starts.
+    lone = (bad == 1) & (truth >= 0)
+    assert (good != (bad == 0)).sum() > 50 and (good != (fine >= bad)).mean() > 0.05
+    assert good[lone & (truth == 1)].mean() > 0.9 and good[lone & (truth == 0)].mean() < 0.1
+
+
 def test_non_negative_risk_ignores_positives_hidden_in_unlabelled():
     rng = np.random.default_rng(4)
     text = lambda bad: np.unique(np.append(rng.integers(10, 400, 20), [1, 2][rng.integers(0, 2)] if bad else 5))
