@@ -1,20 +1,25 @@
 """Hashed maximum-entropy language model with class-factored softmax.
 
 Tokens are lower-cased words and one end per document. Words are counted over all training documents, exactly. The
-most frequent ones are factored into classes by rank; all others form a last class, inside which a word's probability
-is (count + 1) / (the class's counts + types + 1), an unseen word counting as one further type. So
+most frequent ones are factored into classes by rank; all others form a last class, which is factored into groups by
+their last two letters. Inside a group a word's probability is (count + 1) / (the group's counts + types + 1), an unseen
+word counting as one further type. So
 
-    P(token | context) = P(class | context) * P(word | class, context)
+    P(token | context) = P(class | context) * P(place | class, context) [* P(word | group)]
 
-is a distribution for any count table. Both softmaxes are log-linear in hashed features: the word before, the pair
-before, and words skipped to at distances two and three (classes); the first and third of these (words). Weights start
-at the unigram model.
+is a distribution for any count table. A place is a frequent word of its class, or a group of the last one. Both
+softmaxes are log-linear in hashed features: the word before, the pair before, and words skipped to at distances two and
+three (classes); the first and third of these (places). Weights start at the unigram model.
+
+The rows of both tables, the buckets that tell rare words apart as contexts, the tokens of a shard and the blocks that
+changes are averaged in grow with the square root of the training tokens, so that shards times weights, which is what a
+round shuffles, grow in proportion to the text. MOST_SCALE bounds the weights by what a task can hold.
 
 Training is one pass over all training documents in ROUNDS disjoint parts. A part is dealt by a hash of id and text into
 shards of about SHARD_TOKENS tokens, so their number follows the corpus and neither files nor tasks have a say. From the
 round's weights each shard runs sparse Adagrad steps over minibatches of its documents in the order of that hash; the
-shards' changes are averaged by tokens, block by block, and become the next round's weights. A shard learns as much
-whatever the corpus's size, so the gain does not fade as shards multiply. The model's size is fixed by parameters.
+shards' changes are averaged by tokens, block by block, and become the next round's weights. A shard learns no less in
+a larger corpus, so the gain does not fade as shards multiply.
 
 Counts of frequent words travel in a broadcast table of at most HEAD_WORDS rows; documents carry the hashes of all
 other words, which are joined with the count table, so that every count is exact at any vocabulary size.
@@ -51,8 +56,13 @@ MINIBATCH = 8192
 SHARD_TOKENS = 1_000_000
 MOST_SHARDS = 4096
 BLOCKS = 16
+#: Up to four times so many training tokens the sizes above hold; they double with each further factor of four.
+SCALE_TOKENS = 16_000_000
+#: 256 MB of weights, beyond 6.5e10 training tokens.
+MOST_SCALE = 64
+#: The low bits of a token's hash, its group: the hashed last two bytes of the word.
+GROUP = CLASS_WORDS - 1
 END = U64(0xE0D0E0D0E0D0E0D1)
-START = FREQUENT + CONTEXT_BUCKETS
 #: Word hashes a task holds before it sends their counts on.
 HELD_COUNTS = 4_000_000
 LN10 = np.log(10.0)
@@ -63,6 +73,9 @@ def tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     buf, offsets = common.text_buffer(piece.column("text"))
     starts, ends, doc = common.word_spans(buf, offsets)
     words = common.segment_hash(buf, starts, ends, lower=True)
+    last, second = buf[ends - 1], np.where(ends - starts > 1, buf[np.maximum(ends, 2) - 2], 0)
+    low = [x.astype(np.uint64) + U64(32) * ((x >= 65) & (x <= 90)) for x in (last, second)]
+    words = words & ~U64(GROUP) | common.mix(low[0] * U64(256) + low[1]) >> U64(58)
     cuts = np.searchsorted(doc, np.arange(piece.num_rows + 1))
     out = np.empty(len(words) + piece.num_rows, np.uint64)
     out[np.arange(len(words)) + doc] = words
@@ -113,17 +126,24 @@ def _count_batches(keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(values[cut].astype(np.int64))], names=["h", "c"])
 
 
+def scale(n: int) -> int:
+    """The factor of the model's sizes for n training tokens: a power of two near the root of n / SCALE_TOKENS."""
+    return min(MOST_SCALE, 1 << int(max(0.0, np.log2(max(n, 1) / SCALE_TOKENS)) / 2))
+
+
 class Vocabulary:
-    """The frequent words by hash, with rank and count, and the totals."""
+    """The frequent words by hash, with rank and count, the totals, and the masses of the last class's groups."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int):
-        """hashes in descending order of count."""
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, n: int, v: int, mass: np.ndarray):
+        """hashes in descending order of count; mass: counts and types of all words by group."""
         order = np.argsort(hashes)
         self.hashes, self.counts, self.rank = hashes[order], counts[order], order.astype(np.int64)
         self.n, self.v = n, v
         top = counts[:FREQUENT]
         self.top = top
-        self.rest = float(n - top.sum()) + float(v - len(top)) + 1.0
+        self.rest = mass - np.bincount((hashes[:FREQUENT] & U64(GROUP)).astype(np.int64), weights=top + 1.0, minlength=CLASS_WORDS) + 1.0
+        self.scale = scale(n)
+        self.buckets = CONTEXT_BUCKETS * self.scale
 
     def look_up(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or -1) and count (0 where not in the table) of each hash."""
@@ -134,39 +154,26 @@ class Vocabulary:
         return np.where(hit, self.rank[at], -1), np.where(hit, self.counts[at], 0)
 
 
-def token_ids(hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Model ids: ranks below FREQUENT, else one of CONTEXT_BUCKETS by hash."""
-    return np.where((rank >= 0) & (rank < FREQUENT), rank, FREQUENT + (hashes % U64(CONTEXT_BUCKETS)).astype(np.int64))
+def token_ids(hashes: np.ndarray, rank: np.ndarray, buckets: int) -> np.ndarray:
+    """Model ids: ranks below FREQUENT, else one of the buckets by hash. An id's low bits are its place in its class."""
+    return np.where((rank >= 0) & (rank < FREQUENT), rank, FREQUENT + (hashes % U64(buckets)).astype(np.int64))
 
 
-def contexts(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids one, two and three before each token; START before a document."""
+def contexts(ids: np.ndarray, cuts: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids one, two and three before each token; ``start`` before a document."""
     place = np.arange(len(ids)) - np.repeat(cuts[:-1], np.diff(cuts))
     back = []
     for d in (1, 2, 3):
-        x = np.full(len(ids), START)
+        x = np.full(len(ids), start)
         x[d:] = ids[:-d] if d < len(ids) else ids[:0]
-        x[place < d] = START
+        x[place < d] = start
         back.append(x)
     return tuple(back)
 
 
 def _hashed(x: np.ndarray, salt: int, rows: int) -> np.ndarray:
-    return (common.mix(x.astype(np.uint64) * U64(8) + U64(salt)) % U64(rows)).astype(np.uint16)
-
-
-#: Rows of the features of one id, and of one id with a class, once for all ids.
-_SINGLE = [_hashed(np.arange(START + 1), salt, CLASS_ROWS) for salt in (1, 3, 4)]
-_WORD = [_hashed(np.arange((START + 1) * CLASSES), salt, WORD_ROWS) for salt in (5, 6)]
-
-
-def feature_rows(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> list[np.ndarray]:
-    """Class-table rows of: word before, pair before, word at distance two, word at distance three."""
-    return [_SINGLE[0][w1], _hashed(w1 * 8192 + w2, 2, CLASS_ROWS), _SINGLE[1][w2], _SINGLE[2][w3]]
-
-
-def word_rows(w1: np.ndarray, w2: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
-    return [_WORD[0][w1 * CLASSES + cls], _WORD[1][w2 * CLASSES + cls]]
+    # Sorting 16 bits is much faster.
+    return (common.mix(x.astype(np.uint64) * U64(8) + U64(salt)) % U64(rows)).astype(np.uint16 if rows <= 1 << 16 else np.uint32)
 
 
 class Maxent:
@@ -175,23 +182,33 @@ class Maxent:
     def __init__(self, vocabulary: Vocabulary):
         counts = np.zeros(FREQUENT)
         counts[: len(vocabulary.top)] = vocabulary.top
-        grid = counts.reshape(CLASSES - 1, CLASS_WORDS)
-        mass = np.append(grid.sum(axis=1), vocabulary.rest)
+        grid = np.concatenate((counts, vocabulary.rest)).reshape(CLASSES, CLASS_WORDS)
+        mass = grid.sum(axis=1)
         self.class_bias = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32)
         # A place without a word has no chance; a class without words keeps a flat, unused row.
         inside = np.where(grid > 0, np.log(np.maximum(grid, 1e-30) / np.maximum(grid.sum(axis=1, keepdims=True), 1e-30)), -80.0)
         self.word_bias = inside.astype(np.float32)
-        self.class_table = np.zeros((CLASS_ROWS, CLASSES), np.float32)
-        self.word_table = np.zeros((WORD_ROWS, CLASS_WORDS), np.float32)
-        self.empty = mass <= 1e-9
+        self.class_table = np.zeros((CLASS_ROWS * vocabulary.scale, CLASSES), np.float32)
+        self.word_table = np.zeros((WORD_ROWS * vocabulary.scale, CLASS_WORDS), np.float32)
+        self.start = FREQUENT + vocabulary.buckets
+        # Rows of the features of one id, and of one id with a class, once for all ids.
+        self.single = [_hashed(np.arange(self.start + 1), salt, len(self.class_table)) for salt in (1, 3, 4)]
+        self.paired = [_hashed(np.arange((self.start + 1) * CLASSES), salt, len(self.word_table)) for salt in (5, 6)]
+
+    def feature_rows(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> list[np.ndarray]:
+        """Class-table rows of: word before, pair before, word at distance two, word at distance three."""
+        return [self.single[0][w1], _hashed(w1 << 20 | w2, 2, len(self.class_table)), self.single[1][w2], self.single[2][w3]]
+
+    def word_rows(self, w1: np.ndarray, w2: np.ndarray, cls: np.ndarray) -> list[np.ndarray]:
+        return [self.paired[0][w1 * CLASSES + cls], self.paired[1][w2 * CLASSES + cls]]
 
     def flat(self) -> np.ndarray:
         return np.concatenate((self.class_table.reshape(-1), self.word_table.reshape(-1)))
 
     def load(self, flat: np.ndarray) -> None:
-        cut = CLASS_ROWS * CLASSES
-        self.class_table = flat[:cut].reshape(CLASS_ROWS, CLASSES).astype(np.float32)
-        self.word_table = flat[cut:].reshape(WORD_ROWS, CLASS_WORDS).astype(np.float32)
+        cut = self.class_table.size
+        self.class_table = flat[:cut].reshape(-1, CLASSES).astype(np.float32)
+        self.word_table = flat[cut:].reshape(-1, CLASS_WORDS).astype(np.float32)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
@@ -213,40 +230,35 @@ class Maxent:
         return self._softmax(z)
 
     def log_probabilities(self, ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Natural log of P(class) * P(word | class); for tokens of the last class of P(class) alone."""
+        """Natural log of P(class) * P(place | class): of the word, or of its group for tokens of the last class."""
         out = np.zeros(len(ids))
-        back = contexts(ids, cuts)
+        back = contexts(ids, cuts, self.start)
         for at in range(0, len(ids), MINIBATCH):
             cut = slice(at, at + MINIBATCH)
             now, w = ids[cut], [b[cut] for b in back]
             cls = np.minimum(now // CLASS_WORDS, CLASSES - 1)
-            p = self.class_probabilities(feature_rows(*w))
-            out[cut] = np.log(p[np.arange(len(now)), cls] + 1e-30)
-            known = np.flatnonzero(now < FREQUENT)
-            if len(known):
-                c = cls[known]
-                q = self.word_probabilities(word_rows(w[0][known], w[1][known], c), c)
-                out[at + known] += np.log(q[np.arange(len(known)), now[known] % CLASS_WORDS] + 1e-30)
+            each = np.arange(len(now))
+            p = self.class_probabilities(self.feature_rows(*w))
+            q = self.word_probabilities(self.word_rows(w[0], w[1], cls), cls)
+            out[cut] = np.log(p[each, cls] + 1e-30) + np.log(q[each, now % CLASS_WORDS] + 1e-30)
         return out
 
     def train(self, ids: np.ndarray, cuts: np.ndarray, sums: list[np.ndarray]) -> None:
         """Adagrad steps over the documents; sums holds the squared gradients of both tables."""
-        back = contexts(ids, cuts)
+        back = contexts(ids, cuts, self.start)
         for at in range(0, len(ids), MINIBATCH):
             cut = slice(at, at + MINIBATCH)
             now, w = ids[cut], [b[cut] for b in back]
             cls = np.minimum(now // CLASS_WORDS, CLASSES - 1)
-            rows = feature_rows(*w)
+            each = np.arange(len(now))
+            rows = self.feature_rows(*w)
             g = self.class_probabilities(rows)
-            g[np.arange(len(now)), cls] -= 1
+            g[each, cls] -= 1
             self._step(self.class_table, sums[0], rows, g)
-            known = np.flatnonzero(now < FREQUENT)
-            if len(known):
-                c = cls[known]
-                rows = word_rows(w[0][known], w[1][known], c)
-                g = self.word_probabilities(rows, c)
-                g[np.arange(len(known)), now[known] % CLASS_WORDS] -= 1
-                self._step(self.word_table, sums[1], rows, g)
+            rows = self.word_rows(w[0], w[1], cls)
+            g = self.word_probabilities(rows, cls)
+            g[each, now % CLASS_WORDS] -= 1
+            self._step(self.word_table, sums[1], rows, g)
 
     @staticmethod
     def _step(table: np.ndarray, squares: np.ndarray, rows: list[np.ndarray], g: np.ndarray) -> None:
@@ -275,20 +287,20 @@ class Maxent:
 
 def shard_count(n: int, rounds: int) -> int:
     """Shards of a round over n training tokens."""
-    return min(MOST_SHARDS, max(1, round(n / rounds / SHARD_TOKENS)))
+    return min(MOST_SHARDS, max(1, round(n / rounds / SHARD_TOKENS / scale(n))))
 
 
 def training_tokens(docs: DataFrame, shared, rounds: int, shards: int) -> DataFrame:
-    """(round, shard, place, ids): the training documents' model ids, two bytes each, and where they belong."""
+    """(round, shard, place, ids): the training documents' model ids, four bytes each, and where they belong."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value[0]
         for piece in common.pieces(batches):
             hashes, cuts = tokens(piece)
             some, back = np.unique(hashes, return_inverse=True)
-            ids = token_ids(some, vocabulary.look_up(some)[0]).astype(np.uint16)[back]
+            ids = token_ids(some, vocabulary.look_up(some)[0], vocabulary.buckets).astype(np.uint32)[back]
             raw = ids.tobytes()
-            texts = [raw[2 * a : 2 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            texts = [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("round", "shard", "place")), pa.array(texts, pa.binary())], names=["round", "shard", "place", "ids"])
 
     dealt = docs.where(common.crc_mod(F.col("doc_id"), FOLDS) != HELD).select("text", F.xxhash64("doc_id", "text").alias("place"))
@@ -300,7 +312,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.nda
     """Weights after one pass over all training documents in ``rounds`` parts of averaged local steps."""
     spark = docs.sparkSession
     weights = Maxent(vocabulary).flat()
-    shards, size = shard_count(vocabulary.n, rounds), -(-len(weights) // BLOCKS)
+    shards, blocks = shard_count(vocabulary.n, rounds), BLOCKS * vocabulary.scale
+    size = -(-len(weights) // blocks)
     shared = spark.sparkContext.broadcast((vocabulary, weights))
     table = common.materialise(training_tokens(docs, shared, rounds, shards), "training-tokens")
     for number in range(rounds):
@@ -319,7 +332,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.nda
             def finished() -> Iterator[pa.RecordBatch]:
                 learn()
                 change = model.flat() - start
-                for b in range(BLOCKS):
+                for b in range(blocks):
                     data = zlib.compress(change[b * size : (b + 1) * size].astype(np.float16).tobytes(), 1)
                     yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([seen], pa.int64()), "change": pa.array([data], pa.binary())})
 
@@ -335,7 +348,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.nda
                     elif held_tokens >= 64 * MINIBATCH:
                         learn()
                         held_tokens = 0
-                    held.append(np.frombuffer(ids, np.uint16))
+                    held.append(np.frombuffer(ids, np.uint32))
                     held_tokens += len(held[-1])
             if held:
                 yield from finished()
@@ -352,7 +365,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.nda
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "change": pa.array([(change / n).astype(np.float32).tobytes()], pa.binary())})
 
         part = table.where(F.col("round") == number).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place")
-        changes = part.mapInArrow(run, "block int, shard int, n bigint, change binary").repartition(BLOCKS, "block").sortWithinPartitions("block", "shard")
+        changes = part.mapInArrow(run, "block int, shard int, n bigint, change binary").repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "shard")
         weights = weights.copy()
         for r in changes.mapInArrow(average, "block int, change binary").collect():  # one model
             weights[r.block * size : (r.block + 1) * size] += np.frombuffer(r.change, np.float32)
@@ -361,7 +374,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.nda
     return weights
 
 
-ROWS = "row_id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, head_log double, model_log double, tail array<bigint>, tail_n array<int>, top_log double, n_rest bigint"
+ROWS = "row_id bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, head_log double, model_log double, tail array<bigint>, tail_n array<int>, top_log double, rest_log double"
 
 
 def score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -> DataFrame:
@@ -379,7 +392,7 @@ def score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) ->
             hashes, cuts = tokens(piece)
             some, back = np.unique(hashes, return_inverse=True)
             rank, count = vocabulary.look_up(some)
-            ids = token_ids(some, rank)[back]
+            ids = token_ids(some, rank, vocabulary.buckets)[back]
             doc = np.repeat(np.arange(n), np.diff(cuts))
             local = (rank >= 0)[back]
             logs = np.where(local, np.log(count[back] + 1.0), 0.0)
@@ -395,7 +408,7 @@ def score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) ->
             columns = [
                 pa.array(np.arange(row_id, row_id + n)), ids_column, pa.array(held_out(ids_column.to_pylist())), pa.array(np.diff(cuts)),
                 pa.array(add(local).astype(np.int64)), pa.array(add(logs)), pa.array(add(model.log_probabilities(ids, cuts))), tail, tail_n,
-                pa.array(add(np.where(ids < FREQUENT, logs, 0.0))), pa.array(add(ids >= FREQUENT).astype(np.int64)),
+                pa.array(add(np.where(ids < FREQUENT, logs, 0.0))), pa.array(add(np.where(ids < FREQUENT, 0.0, np.log(vocabulary.rest)[ids % CLASS_WORDS]))),
             ]
             row_id += n
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in ROWS.split(", ")])
@@ -432,8 +445,10 @@ def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logs to base 10."""
     counts = common.materialise(word_counts(docs), "word-counts")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    vocabulary = Vocabulary(*frequent_words(counts), n, v)
+    n, v, mass = 0, 0, np.zeros(CLASS_WORDS)
+    for r in counts.groupBy(F.col("h").bitwiseAND(GROUP).alias("g")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        n, v, mass[r.g] = n + r.c, v + r.n, r.c + r.n
+    vocabulary = Vocabulary(*frequent_words(counts), n, v, mass)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     weights = fit(docs, vocabulary, rounds)
     rows = common.materialise(score_rows(docs, vocabulary, weights), "scored")
@@ -443,7 +458,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     out = rows.drop("tail", "tail_n").join(tail, "row_id", "left")
     far = F.coalesce("far_log", F.lit(0.0))
     base = (F.col("head_log") + far - F.col("n_tokens") * F.lit(float(np.log(n + v + 1.0)))) / F.lit(float(LN10))
-    # Words of the last class: their counts over the class's total. top_log belongs to words outside it.
+    # Words of the last class: their counts over their group's total. top_log belongs to words outside it.
     return out.select(
         "doc_id",
         "held_out",
@@ -451,5 +466,5 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         (F.col("n_known") + F.coalesce("far_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         base.alias("base_score"),
-        ((F.col("model_log") + F.col("head_log") - F.col("top_log") + far - F.col("n_rest") * F.lit(float(np.log(vocabulary.rest)))) / F.lit(float(LN10))).alias("score"),
+        ((F.col("model_log") + F.col("head_log") - F.col("top_log") + far - F.col("rest_log")) / F.lit(float(LN10))).alias("score"),
     )

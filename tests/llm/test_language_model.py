@@ -38,18 +38,16 @@ def test_distribution_sums_to_one():
     n_words = m.FREQUENT + 500
     counts = np.sort(rng.integers(1, 1000, n_words))[::-1]
     hashes = rng.permutation(np.arange(1, n_words + 1)).astype(np.uint64) * np.uint64(2654435761)
-    v = m.Vocabulary(hashes, counts, int(counts.sum()), n_words)
+    group = (hashes & np.uint64(m.GROUP)).astype(int)
+    v = m.Vocabulary(hashes, counts, int(counts.sum()), n_words, np.bincount(group, weights=counts + 1, minlength=64))
     model = m.Maxent(v)
     model.class_table[:] = rng.normal(0, 0.5, model.class_table.shape)
     model.word_table[:] = rng.normal(0, 0.5, model.word_table.shape)
-    total = 0.0
-    for w in range(m.FREQUENT):
-        total += 0
     ids = np.stack([np.full(m.FREQUENT, 7), np.arange(m.FREQUENT)], 1).reshape(-1)
     logs = model.log_probabilities(ids, np.arange(0, 2 * m.FREQUENT + 1, 2))[1::2]
-    tail = model.log_probabilities(np.array([7, m.FREQUENT + 3]), np.array([0, 2]))[1]
-    rest = counts[m.FREQUENT :]
-    total = np.exp(logs).sum() + np.exp(tail) * ((rest + 1).sum() + 1) / v.rest
+    tail = model.log_probabilities(np.stack([np.full(64, 7), m.FREQUENT + np.arange(64)], 1).reshape(-1), np.arange(0, 129, 2))[1::2]
+    words = np.bincount(group[m.FREQUENT :], weights=counts[m.FREQUENT :] + 1, minlength=64) + 1  # one unseen word a group
+    total = np.exp(logs).sum() + (np.exp(tail) * words / v.rest).sum()
     assert abs(total - 1) < 1e-4
 
 
@@ -63,11 +61,13 @@ def test_beats_the_base_on_held_out_text(spark):
 
 
 def test_partitions_and_row_order_have_no_say(spark, monkeypatch):
-    monkeypatch.setattr(m, "SHARD_TOKENS", 50_000)
+    monkeypatch.setattr(m, "SHARD_TOKENS", 10_000)
+    monkeypatch.setattr(m, "SCALE_TOKENS", 20_000)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(None, "a null id"), (None, None), (3, "another text of a known id")], docs.schema))
     one, two = (m.score(docs.repartition(n)).toPandas().sort_values(["doc_id", "n_tokens", "base_score"]) for n in (2, 64))
-    assert m.shard_count(int(one.train_tokens.iloc[0]), m.ROUNDS) > 2
+    n = int(one.train_tokens.iloc[0])
+    assert m.shard_count(n, m.ROUNDS) > 2 and m.scale(n) > 1
     assert np.allclose(one.score, two.score, rtol=0, atol=1e-5) and np.allclose(one.base_score, two.base_score, rtol=1e-12)
 
 
@@ -76,3 +76,13 @@ def test_equal_counts_fill_the_head_by_hash(spark, monkeypatch):
     counts = spark.createDataFrame([(h, 9 if h == 7 else 2) for h in (7, -3, 5, 11, 2, -8)], "h long, c long")
     hashes, number = m.frequent_words(counts)
     assert hashes.view(np.int64).tolist() == [7, 2, 5, 11] and number.tolist() == [9, 2, 2, 2]
+
+
+def test_the_model_grows_with_the_corpus():
+    sizes = []
+    for n in (10**6, 10**8, 10**10):
+        model = m.Maxent(m.Vocabulary(np.arange(9, dtype=np.uint64), np.arange(9, 0, -1), n, 9, np.zeros(64) + 9))
+        sizes.append((len(model.flat()), model.start, m.shard_count(n, 2)))
+    assert all(a < b for x, y in zip(sizes[:2], sizes[1:3], strict=True) for a, b in zip(x, y, strict=True))
+    assert m.scale(10**14) == m.MOST_SCALE
+    assert sizes[2][0] * sizes[2][2] / 10**10 < 2 * sizes[1][0] * sizes[1][2] / 10**8
