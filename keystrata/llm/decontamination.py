@@ -46,7 +46,7 @@ MIN_PART = 26
 MIN_SHORT = 4
 #: The bitmap has about 64 bits a window, between these limits (128 KiB and 16 MiB); the join is exact without it.
 BITMAP_BITS = (20, 27)
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 # Unit words.
 UNITS = set(
@@ -67,14 +67,16 @@ def word_code(word: str) -> int:
     bare = word.strip(EDGES)
     if not bare:
         return 0
-    flags = ENDS if word.rstrip("\"')]”’»")[-1:] in (".", "!", "?", ":") else 0
-    if NUMBER.fullmatch(word.strip(PUNCTUATION)):
+    flags = ENDS if bare != word and word.rstrip("\"')]”’»")[-1:] in (".", "!", "?", ":") else 0
+    # Letters alone make no number.
+    if not bare.isalpha() and NUMBER.fullmatch(word.strip(PUNCTUATION)):
         return int(NUM_HASH) | NUM | flags
-    if bare.lower() in UNITS:
+    low = bare.lower()
+    if low in UNITS:
         return int(UNIT_HASH) | UNIT | flags
     if bare[0].isupper() and (len(bare) == 1 or not bare[1:].isupper()):
         flags |= CAPITAL
-    return xxhash.xxh64_intdigest(bare.lower()) >> 4 << 4 | flags
+    return xxhash.xxh64_intdigest(low) >> 4 << 4 | flags
 
 
 def surface_code(word: str) -> int:
