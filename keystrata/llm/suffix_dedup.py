@@ -12,9 +12,11 @@ anchor, 64 of the whole run with the anchor's place), dealt by anchor:
 * within a task, documents come in batches in doc_id order. A batch's array is sorted, searched by a merge scan in
   every level of the family, and what no level holds becomes a new level; levels of about equal size merge, so sizes
   grow geometrically and an entry is merged a logarithmic number of times;
-* a run that an earlier batch or an earlier run holds whole is repeated whole. Only the first runs of anchors that
-  occur in several different runs, the edges of copied passages, stay open: the texts of these runs are dealt by
-  anchor and their windows compared one by one;
+* a run that an earlier batch or an earlier run holds whole is repeated whole. The first of each different run stays
+  open if another one of its anchor may share a window with it: such a window reaches far left or far right of the
+  anchor, so the anchor with half of what a window adds to it must agree on that side (two hashes a run). By the anchor
+  alone, ever more runs would stay open in a larger input, where any string of SEED bytes is soon found somewhere else;
+* the open runs' texts, the edges of copied passages, are dealt by anchor and their windows compared one by one;
 * equal runs of one piece of a map task are folded before any shuffle, so a hot passage reaches a task once a piece.
 
 Levels find whole runs by their fingerprints (96 bits); windows of open runs are grouped by 64-bit hashes and then
@@ -47,7 +49,7 @@ BATCH = 1 << 16
 #: Stands in for a null doc_id, which counts as the least one.
 NO_ID = -(1 << 63)
 
-RUNS = "anchor int, run bigint, doc_id bigint, lo int, n int, repeated boolean"
+RUNS = "anchor int, run bigint, sides bigint, doc_id bigint, lo int, n int, repeated boolean"
 
 
 class Rolling:
@@ -78,8 +80,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored_runs(buf: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Of every run: document index, first window (position in buf), number of windows, anchor and run fingerprints."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """Of every run: document index, first window (position in buf), number of windows, anchor and run fingerprints, and
+    those of its sides()."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     sizes = np.diff(offsets)
     if len(buf) < length or sizes.max(initial=0) < length:
         return none
@@ -101,7 +104,33 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray, length: int, seed: int)
     doc = np.searchsorted(offsets, lo, side="right") - 1
     shape = ((place - lo) * 4096 + n).astype(np.uint64)
     run = common.mix(rolling.segment(lo, lo + n - 1 + length) ^ common.mix(shape + U64(1)))
-    return doc, lo, n, seeds[place], run
+    return doc, lo, n, seeds[place], run, sides(rolling, lo, n, place, length, seed)
+
+
+def sides(rolling: Rolling, lo: np.ndarray, n: np.ndarray, place: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Two hashes of 32 bits a run: of the anchor with the ``left`` bytes before it, and with the ``right`` bytes behind it.
+
+    A window with ``left`` bytes or more before its anchor holds the first of these strings whole, any other the second.
+    Runs of one anchor that share a window thus agree in one of both. 0: no window of the run holds that string.
+    """
+    left = (length - seed + 1) // 2
+    right = length - seed - left + 1
+    out = np.zeros((2, len(lo)), np.uint64)
+    for side, has, start, end in ((0, place - lo >= left, place - left, place + seed), (1, place - (lo + n - 1) < left, place, place + seed + right)):
+        out[side, has] = common.mix(rolling.segment(start[has], end[has])) >> U64(32) | U64(1)
+    return out[0] << U64(32) | out[1]
+
+
+def shared_sides(anchor: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which of these different runs agree with another one in the anchor and a side."""
+    out, anchor = np.zeros(len(anchor), bool), anchor.view(np.uint32).astype(np.uint64) << U64(32)
+    for side in (sides.view(np.uint64) >> U64(32), sides.view(np.uint64) & U64(0xFFFFFFFF)):
+        rows = np.flatnonzero(side)
+        key = anchor[rows] | side[rows]
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        out[rows[order[1:][same]]] = out[rows[order[:-1][same]]] = True
+    return out
 
 
 def first_and_later(key: np.ndarray, doc_id: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +208,7 @@ def map_runs(length: int, seed: int):
         names = [x.split()[0] for x in RUNS.split(", ")]
         for piece in common.pieces(batches):
             buf, offsets = common.text_buffer(piece.column("text"))
-            doc, lo, n, anchor, prints = anchored_runs(buf, offsets, length, seed)
+            doc, lo, n, anchor, prints, side = anchored_runs(buf, offsets, length, seed)
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
             lo = lo - offsets[doc]
             first, later = first_and_later(prints, ids, lo)
@@ -189,6 +218,7 @@ def map_runs(length: int, seed: int):
             columns = [
                 (np.concatenate((anchor[first], spread)) >> U64(32)).astype(np.uint32).view(np.int32),
                 np.concatenate((prints[first], np.zeros(done, np.uint64))).view(np.int64),
+                np.concatenate((side[first], np.zeros(done, np.uint64))).view(np.int64),
                 np.concatenate((ids[first], d)),
                 np.concatenate((lo[first], a)).astype(np.int32),
                 np.concatenate((n[first], e - a)).astype(np.int32),
@@ -200,20 +230,20 @@ def map_runs(length: int, seed: int):
 
 
 def scan_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's share of the anchors: repeated runs, and open runs (first ones of anchors with several runs)."""
+    """One task's share of the anchors: repeated runs, and open runs (first ones that may share a window with others)."""
     names = [x.split()[0] for x in RUNS.split(", ")]
     parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches if b.num_rows]
     if not parts:
         return
-    anchor, prints, doc, lo, n, done = (np.concatenate(x) for x in zip(*parts, strict=True))
+    anchor, prints, side, doc, lo, n, done = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     out = [(doc[done], lo[done], n[done], np.ones(int(done.sum()), bool), anchor[done])]
-    anchor, prints, doc, lo, n = (x[~done] for x in (anchor, prints, doc, lo, n))
+    anchor, prints, side, doc, lo, n = (x[~done] for x in (anchor, prints, side, doc, lo, n))
     order = np.lexsort((lo, doc))
-    anchor, prints, doc, lo, n = (x[order] for x in (anchor, prints, doc, lo, n))
+    anchor, prints, side, doc, lo, n = (x[order] for x in (anchor, prints, side, doc, lo, n))
     same = np.zeros(len(doc), bool)  # a repeated row's runs are the same occurrence, not a later one
     same[1:] = (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])
-    anchor, prints, doc, lo, n = (x[~same] for x in (anchor, prints, doc, lo, n))
+    anchor, prints, side, doc, lo, n = (x[~same] for x in (anchor, prints, side, doc, lo, n))
     family, again = SuffixFamily(), np.zeros(len(doc), bool)
     rows = np.arange(len(doc))
     for at in range(0, len(doc), BATCH):
@@ -221,11 +251,7 @@ def scan_family(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again[cut] = family.add(prints[cut], anchor[cut], rows[cut])
     out.append((doc[again], lo[again], n[again], np.ones(int(again.sum()), bool), anchor[again]))
     kept = family.rows()
-    kept = kept[np.argsort(anchor[kept], kind="stable")]
-    twin = np.zeros(len(kept), bool)
-    twin[1:] = anchor[kept[1:]] == anchor[kept[:-1]]
-    twin[:-1] |= twin[1:]
-    kept = kept[twin]
+    kept = kept[shared_sides(anchor[kept], side[kept])]
     out.append((doc[kept], lo[kept], n[kept], np.zeros(len(kept), bool), anchor[kept]))
     for d, a, size, repeated, key in out:
         for at in range(0, len(d), 1 << 17):

@@ -111,3 +111,34 @@ def test_different_texts_of_one_id_and_clashing_names(spark):
     assert got[(1, 231)].n_removed + got[(1, 462)].n_removed == 231 + 231 and got[(None, 231)].n_removed + got[(None, 462)].n_removed == 231 and got[(7, 232)].n_removed == 231
     kept = s.without_repeats(df)
     assert kept.columns == df.columns and all(r[2:] == (1, 2, 3, 4) for r in kept.collect())
+
+
+def test_runs_stay_open_only_beside_runs_that_may_share_a_window(spark):
+    """Short strings that many texts hold by chance take no disk: their runs go with whole-run fingerprints alone."""
+    rng = np.random.default_rng(12)
+    prose = lambda k: "".join(rng.choice(list("abcdefghij "), k))
+    short, passage = prose(60), prose(300)
+    rows = [(i, prose(200) + short + prose(200)) for i in range(80)] + [(100 + i, prose(150) + passage[i : i + 160] + prose(150)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = df.repartition(3).mapInArrow(s.map_runs(100, 32), s.RUNS).repartition(1)
+    found = runs.mapInArrow(s.scan_family, "doc_id bigint, lo int, n int, repeated boolean, anchor int").where("not repeated")
+    opened = {r.doc_id for r in found.select("doc_id").collect()}
+    assert not any(i < 100 for i in opened) and len(opened) > 30
+    assert sorted(map(tuple, s.digests(df).collect())) == brute(rows, 100)
+
+
+@pytest.mark.parametrize("length,seed", [(100, 32), (40, 12), (33, 8), (9, 8), (8, 8)])
+def test_runs_that_share_a_window_agree_in_a_side(length, seed):
+    rng = np.random.default_rng(length)
+    buf = rng.integers(97, 99, 4000).astype(np.uint8)
+    for at in range(1000, 3600, 400):
+        k = int(rng.integers(length, 300))
+        buf[at : at + k] = buf[500 : 500 + k]
+    offsets = np.array([0, 700, 710, 2500, 4000])
+    doc, lo, n, anchor, prints, side = s.anchored_runs(buf, offsets, length, seed)
+    raw, short = buf.tobytes(), (anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    windows = [{raw[a : a + length] for a in range(x, x + k)} for x, k in zip(lo.tolist(), n.tolist(), strict=True)]
+    for i in range(len(lo)):
+        for j in range(i):
+            if windows[i] & windows[j]:
+                assert s.shared_sides(short[[i, j]], side[[i, j]]).all()
