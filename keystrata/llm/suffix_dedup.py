@@ -16,7 +16,8 @@ anchor, 64 of the whole run with the anchor's place), dealt by anchor:
   open if another one of its anchor may share a window with it: such a window reaches far left or far right of the
   anchor, so the anchor with half of what a window adds to it must agree on that side (two hashes a run). By the anchor
   alone, ever more runs would stay open in a larger input, where any string of SEED bytes is soon found somewhere else;
-* the open runs' texts, the edges of copied passages, are dealt by anchor and their windows compared one by one;
+* the open runs' texts, the edges of copied passages, are dealt by anchor and their windows compared one by one. Where
+  they add up to more than half of the input, they go in several rounds of anchors, whose files are deleted in between;
 * equal runs of one piece of a map task are folded before any shuffle, so a hot passage reaches a task once a piece.
 
 Levels find whole runs by their fingerprints (96 bits); windows of open runs are grouped by 64-bit hashes and then
@@ -46,6 +47,8 @@ LENGTH = 100
 SEED = 32
 #: Suffixes in a batch of the family.
 BATCH = 1 << 16
+#: Texts of open runs that are on disk at one time: a share of the input's bytes, or as many bytes as never matter.
+ROUND_SHARE, ROUND_BYTES = 0.5, 1 << 26
 #: Stands in for a null doc_id, which counts as the least one.
 NO_ID = -(1 << 63)
 
@@ -380,11 +383,24 @@ def repeated_windows(docs: DataFrame, names: Columns, length: int = LENGTH, seed
     n_parts = common.parts(docs.sparkSession)
     runs = docs.select(F.col(names.key).alias("doc_id"), "text").mapInArrow(map_runs(length, seed), RUNS).repartition(n_parts, "anchor")
     scanned = common.materialise(runs.mapInArrow(scan_family, "doc_id bigint, lo int, n int, repeated boolean, anchor int"), "suffix-runs")
-    opened = scanned.where("not repeated").groupBy(F.col("doc_id").alias(names.id)).agg(F.collect_list(F.struct("lo", "n", "anchor")).alias(names.runs))
+    opened, rounds = scanned.where("not repeated"), 1
+    size = opened.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
+    if size > ROUND_BYTES:
+        whole = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+        rounds = -(-size // max(ROUND_BYTES, int(ROUND_SHARE * whole)))
+    found = scanned.where("repeated").select("doc_id", "lo", "n")
+    for k in range(rounds):
+        mine = opened.where(F.pmod(F.xxhash64("anchor"), F.lit(rounds)) == k) if rounds > 1 else opened
+        edges = open_edges(docs, mine, names, length)
+        found = found.unionByName(common.materialise(edges, "suffix-edges") if rounds > 1 else edges)
+    return found.groupBy(F.col("doc_id").alias(names.id)).agg(F.collect_list(F.struct("lo", "n")).alias(names.spans))
+
+
+def open_edges(docs: DataFrame, opened: DataFrame, names: Columns, length: int) -> DataFrame:
+    """(doc_id, lo, n): the intervals of repeated windows in open runs; those of one anchor must be in opened together."""
+    opened = opened.groupBy(F.col("doc_id").alias(names.id)).agg(F.collect_list(F.struct("lo", "n", "anchor")).alias(names.runs))
     contexts = docs.join(opened, docs[names.key] == opened[names.id]).mapInArrow(map_contexts(length, names), CONTEXTS)
-    edges = contexts.repartition(n_parts, "anchor").mapInArrow(settle_windows(length), "doc_id bigint, lo int, n int")
-    whole = scanned.where("repeated").select("doc_id", "lo", "n")
-    return whole.unionByName(edges).groupBy(F.col("doc_id").alias(names.id)).agg(F.collect_list(F.struct("lo", "n")).alias(names.spans))
+    return contexts.repartition(common.parts(docs.sparkSession), "anchor").mapInArrow(settle_windows(length), "doc_id bigint, lo int, n int")
 
 
 def keyed(docs: DataFrame, names: Columns) -> DataFrame:

@@ -142,3 +142,20 @@ def test_runs_that_share_a_window_agree_in_a_side(length, seed):
         for j in range(i):
             if windows[i] & windows[j]:
                 assert s.shared_sides(short[[i, j]], side[[i, j]]).all()
+
+
+def test_open_runs_go_in_rounds_whose_texts_stay_a_share_of_the_input(spark, monkeypatch):
+    rows, sizes, one = corpus(6), [], s.open_edges
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def counted(docs, opened, names, length):
+        sizes.append(sum(r.n + length - 1 for r in opened.collect()))
+        return one(docs, opened, names, length)
+
+    monkeypatch.setattr(s, "open_edges", counted)
+    whole = sorted(map(tuple, s.digests(df).collect()))
+    monkeypatch.setattr(s, "ROUND_BYTES", 1000)
+    monkeypatch.setattr(s, "ROUND_SHARE", 0.2)
+    assert sorted(map(tuple, s.digests(df).collect())) == whole == brute(rows, 100)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert len(sizes) == 1 - (-sizes[0] // int(0.2 * size)) > 2 and sum(sizes[1:]) == sizes[0]
